@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from palimpsest.llm import leaks, mixing, near_duplicates, site_lines, term_counts, top_items
 from palimpsest.functions.ids import bare_docid
+from palimpsest.llm import cut_texts, leaks, main_content, mixing, near_duplicates, site_lines, term_counts, top_items
 from palimpsest.sources.tables import table
-from pyspark.sql import functions as F
 
 
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
@@ -20,6 +20,14 @@ def p1_groups(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates.page_groups(table(spark, root, "document_snapshot"))
 
 
+def p3_found(spark: SparkSession, root: str) -> DataFrame:
+    return main_content.furniture_lines(table(spark, root, "document_snapshot"))
+
+
+def p3_clean(spark: SparkSession, root: str) -> DataFrame:
+    return main_content.main_content(table(spark, root, "document_snapshot"))
+
+
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return term_counts.snapshot_term_counts(table(spark, root, "document_snapshot"))
 
@@ -66,6 +74,33 @@ def p8_found(spark: SparkSession, root: str) -> DataFrame:
     return p8_report(spark, root).filter("short").select("source")
 
 
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return cut_texts.cut_documents(table(spark, root, "documents")).filter("cut").select("doc_id")
+
+
+def p9_report(spark: SparkSession, root: str) -> DataFrame:
+    return cut_texts.cut_report(cut_texts.cut_documents(table(spark, root, "documents")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_groups, p4_found, p5_found, p5_sequences, p5_clean, p6_found, p7_found, p7_matches, p7_clean, p8_found, p8_report, p8_mix)
+    f.__name__: f
+    for f in (
+        p1_found,
+        p1_groups,
+        p3_found,
+        p3_clean,
+        p4_found,
+        p5_found,
+        p5_sequences,
+        p5_clean,
+        p6_found,
+        p7_found,
+        p7_matches,
+        p7_clean,
+        p8_found,
+        p8_report,
+        p8_mix,
+        p9_found,
+        p9_report,
+    )
 }
