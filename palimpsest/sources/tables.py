@@ -42,5 +42,9 @@ def jdbc_table(spark: SparkSession, url: str, name: str, column: str, lower: int
 
 
 def json_strings(column: str) -> F.Column:
-    """A text column that holds a JSON array of strings; bad JSON and null give an empty array."""
-    return F.coalesce(F.from_json(F.col(column), T.ArrayType(T.StringType())), F.array().cast("array<string>"))
+    """A text column that holds a JSON array of strings; null and text that is no valid JSON give an empty array.
+
+    Validity is checked on its own, as ``from_json`` keeps the part of a broken array that it could read.
+    """
+    read = F.from_json(F.col(column), T.ArrayType(T.StringType()))
+    return F.coalesce(F.when(F.try_parse_json(F.col(column)).isNotNull(), read), F.array().cast("array<string>"))
