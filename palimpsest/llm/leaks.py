@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+
+from palimpsest.operators.lineage import materialize
 
 #: Tokens of training text for one suffix array; a longer document has an array of its own.
 SHARD = 1 << 19
@@ -122,27 +123,23 @@ def find_leaks(documents: DataFrame, items: DataFrame, min_words: int = 12, shar
     earliest of equally long ones. Words out of the held-out vocabulary break a shard's text, so that its suffix array holds
     only suffixes that a held-out suffix can match; every held-out suffix is binary-searched in it. Training
     text is read once and never shuffled. Held-out text goes to the tasks in blocks of at most ``block`` bytes,
-    each searched for in a pass of its own, so what is sent has that bound whatever the size of the table (a single item is never
-    split). Null and empty texts, and items under ``min_words`` words, match nothing; equal items each match.
+    each searched for in a pass of its own whose result is written before the next block is read: neither the driver nor a
+    task ever holds more than one block, whatever the size of the table (a single item is never split). Null and empty texts, and items under ``min_words`` words, match nothing; equal items each match.
     """
     spark = documents.sparkSession
     schema = "doc_id bigint, item_id bigint, words bigint, doc_word bigint, item_word bigint"
     slim = documents.select("doc_id", "text").filter("doc_id is not null and text is not null")
-    out = None
-    group: list[tuple[int, str]] = []
-    size = 0
     texts = items.select("item_id", "text").filter("item_id is not null and text is not null").distinct()
+    group: list[tuple[int, str]] = []
+    size, out = 0, spark.createDataFrame([], schema)
     for r in texts.orderBy("item_id", "text").toLocalIterator():
         n = len(r.text.encode())
         if group and size + n > block:
-            part = slim.mapInArrow(_search(group, min_words, shard), schema)
-            out, group, size = part if out is None else out.unionByName(part), [], 0
+            out = out.unionByName(materialize(slim.mapInArrow(_search(group, min_words, shard), schema), "p7-block"))
+            group, size = [], 0
         group.append((r.item_id, r.text))
         size += n
-    if group:
-        part = slim.mapInArrow(_search(group, min_words, shard), schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    return out.unionByName(slim.mapInArrow(_search(group, min_words, shard), schema)) if group else out
 
 
 def without_leaks(documents: DataFrame, leaks: DataFrame) -> DataFrame:

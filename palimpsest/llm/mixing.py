@@ -77,7 +77,8 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, se
     have = hist.groupBy("name").agg(F.sum("t").alias("available"), F.sum("n").alias("documents"))
     one = Window.partitionBy("name").orderBy("source")
     goal = (
-        targets.filter("source is not null and target_share is not null")
+        targets.select("source", "target_share", "max_repeat")
+        .filter("source is not null and target_share is not null")
         .withColumn("name", source_name(F.col("source")))
         .withColumn("_k", F.row_number().over(one))
         .filter("_k = 1")
