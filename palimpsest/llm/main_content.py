@@ -21,6 +21,8 @@ from palimpsest.operators.snapshots import current_texts
 MIN_BITS = 2.7
 #: Fewest pages of a host on which a node must stand, and fewest pages of a host whose tree is read for the general tree.
 MIN_PAGES, TREE_PAGES = 8, 30
+#: Fewest pages of a host whose own tree may cut lines of more than three words: in small hosts a family of near copies looks like furniture.
+OWN_PAGES = 100
 #: Share of pages from which the first two words of a headline count as a headline's style.
 STYLE_SHARE = 0.01
 
@@ -49,7 +51,8 @@ def page_lines(snapshot: DataFrame) -> DataFrame:
     """The non-empty lines of the distinct texts of current rows, as numbers and flags; no text is kept.
 
     host ('' if unknown), docid, fp, subs, line_no, content, template and shape (hashes; the shape masks a name as first word, too), own (made by
-    the site: the line names the page's docid, or is no sentence and holds a reference number or items between separators), opening (hash of the first two words), and the form:
+    the site: the line names the page's docid, or is no sentence and holds a reference number, items between separators or three names at its start), opening (hash of the first two words), inner (the same from the first name
+    or figure after one to three words: what a pointer's label is followed by), label (the words before it), and the form:
     prose (ends as a sentence), question, item (starts as a list line does), short (up to three words).
     """
     t = current_texts(snapshot).filter("text is not null")
@@ -69,8 +72,10 @@ def page_lines(snapshot: DataFrame) -> DataFrame:
         F.xxhash64(_content(F.col("line"))).alias("content"),
         F.xxhash64(F.lit("t"), _template(F.col("line"))).alias("template"),
         F.xxhash64(F.lit("g"), _masked(F.col("line"))).alias("shape"),
-        (F.contains(F.col("line"), F.col("docid").cast("string")) | (~ended & F.col("line").rlike("\\p{N}{5}|(?: [|·/>-] .*){3}"))).alias("own"),
-        F.xxhash64(F.regexp_extract(_content(F.col("line")), "^(?:>>|\\[[^\\]]*\\])? ?(\\S+ \\S+)", 1)).alias("opening"),
+        (F.contains(F.col("line"), F.col("docid").cast("string")) | (~ended & F.col("line").rlike("\\p{N}{5}|(?: [|·/>-] .*){3}|^(?:\\p{Lu}\\p{Ll}\\S* ){3}"))).alias("own"),
+        F.xxhash64(F.regexp_extract(_content(F.col("line")), "^(\\S+ \\S+)", 1)).alias("opening"),
+        F.xxhash64(_content(F.regexp_extract(F.col("line"), "^(?:\\S+ ){1,3}?([\\p{Lu}\\p{N}]\\S* \\S+)", 1))).alias("inner"),
+        F.when(F.col("line") != F.upper("line"), F.nullif(F.lower(F.regexp_extract(F.col("line"), "^((?:\\S+ ){1,3}?)[\\p{Lu}\\p{N}]\\S* \\S+", 1)), F.lit(""))).alias("label"),
         (ended & ~F.col("line").rlike("\\?$") | (F.size(F.split("line", " ")) >= 16)).alias("prose"),
         F.col("line").rlike("\\?$").alias("question"),
         F.col("line").rlike("^(?:[•*·–—-]\\s*)?(?:\\p{N}+|\\p{Ll}\\S*) \\S+ (?:de |d')").alias("item"),
@@ -85,9 +90,10 @@ def noisy_nodes(lines: DataFrame) -> DataFrame:
     all pages is spread over its nodes. At most (lines per page / 0.15) nodes of a host can pass.
     """
     pages = lines.select("host", "docid").distinct().groupBy("host").agg(F.count("*").alias("m"))
-    nodes = lines.select("host", "docid", F.explode(F.array("content", "template")).alias("node")).distinct().groupBy("host", "node").agg(F.count("*").alias("n"))
+    nodes = lines.select("host", "docid", "short", F.explode(F.array("content", "template")).alias("node")).distinct()
+    nodes = nodes.groupBy("host", "node").agg(F.count("*").alias("n"), F.min("short").alias("short"))
     nodes = nodes.filter(F.col("n") >= MIN_PAGES).join(pages, "host")
-    return nodes.filter((F.col("host") != "") & (F.log2(F.col("m") / F.col("n")) < MIN_BITS)).select("host", "node", "m", "n")
+    return nodes.filter((F.col("host") != "") & (F.log2(F.col("m") / F.col("n")) < MIN_BITS)).select("host", "node", "m", "n", "short")
 
 
 def general_noise(lines: DataFrame, noisy: DataFrame) -> DataFrame:
@@ -109,30 +115,33 @@ def classified_lines(snapshot: DataFrame) -> DataFrame:
     """host, docid, fp, subs, line_no, main for every non-empty line of the current rows.
 
     After the noisy branches are cut, the first title left before any paragraph is the headline; a title is a line that is neither a
-    sentence nor a list line nor short, or a question that opens the way headlines open. Further titles point to other pages.
+    sentence nor a list line nor short, or a question that opens the way headlines open, be it after a label. A title behind a label that many pages have is no
+    headline. Further titles point to other pages.
     Short lines and list lines before the headline are menus, after it sub-headings and the article's list. Without a
     headline all short lines, list lines and paragraphs that remain are kept.
     """
     lines = materialize(page_lines(snapshot), "p3-lines")
     noisy = materialize(noisy_nodes(lines), "p3-noisy")
     general = materialize(general_noise(lines, noisy), "p3-general")
-    host_nodes = noisy.select("host", "node")
+    host_nodes = noisy.filter(F.col("short") | (F.col("m") >= OWN_PAGES)).select("host", "node")
     x = lines.join(host_nodes.select("host", F.col("node").alias("content"), F.lit(True).alias("c")), ["host", "content"], "left")
     x = x.join(host_nodes.select("host", F.col("node").alias("template"), F.lit(True).alias("t")), ["host", "template"], "left")
     x = x.join(general.withColumn("g", F.lit(True)), "shape", "left")
     noise = F.col("own") | F.coalesce("c", "t", "g", F.lit(False))
-    x = materialize(x.select("host", "docid", "fp", "subs", "line_no", "opening", "prose", "question", "item", "short", noise.alias("noise")), "p3-cut")
+    x = materialize(x.select("host", "docid", "fp", "subs", "line_no", "opening", "inner", "label", "prose", "question", "item", "short", noise.alias("noise")), "p3-cut")
     page = ["host", "docid", "fp"]
     plain = ~F.col("noise") & ~F.col("prose") & ~F.col("short")
     first = x.filter(plain).groupBy(*page).agg(F.min_by("opening", "line_no").alias("opening"))
     total = x.select("docid").distinct().count()
     style = first.groupBy("opening").agg(F.countDistinct("docid").alias("n")).filter(F.col("n") >= STYLE_SHARE * total).select("opening", F.lit(True).alias("styled"))
-    x = x.join(style, "opening", "left")
-    styled = F.coalesce("styled", F.lit(False))
+    x = x.join(style, "opening", "left").join(style.select(F.col("opening").alias("inner"), F.col("styled").alias("labelled")), "inner", "left")
+    labels = x.filter(plain & F.col("label").isNotNull()).groupBy("label").agg(F.countDistinct("docid").alias("n"))
+    x = x.join(labels.filter(F.col("n") >= STYLE_SHARE * total).select("label", F.lit(True).alias("pointer")), "label", "left")
+    styled = F.coalesce("styled", "labelled", F.lit(False))
     title = plain & F.when(F.col("question"), styled).otherwise(~F.col("item") | styled)
     x = x.withColumn("title", title).withColumn("body", ~F.col("noise") & ~title & ~F.col("short") & ~F.col("item"))
     w = Window.partitionBy(*page)
-    x = x.withColumn("head", F.min(F.when(F.col("title"), F.col("line_no"))).over(w)).withColumn("para", F.min(F.when(F.col("body"), F.col("line_no"))).over(w))
+    x = x.withColumn("head", F.min(F.when(F.col("title") & F.col("pointer").isNull(), F.col("line_no"))).over(w)).withColumn("para", F.min(F.when(F.col("body"), F.col("line_no"))).over(w))
     x = x.withColumn("head", F.when(F.col("head") < F.coalesce("para", F.lit(1 << 30)), F.col("head")))
     main = (
         F.when(F.col("noise"), False)
