@@ -39,6 +39,17 @@ def test_json_dates(spark):
     assert [r.x for r in df.select(json_strings("c").alias("x")).collect()][:4] == [["a", "b", "b"], [], [], []]
 
 
+def test_materialize(spark):
+    from palimpsest.operators.lineage import drop_materialized, materialize
+
+    drop_materialized(spark)
+    df = spark.createDataFrame([(1, None), (2, "x")], "a int, b string")
+    kept = materialize(df, "t")
+    assert sorted(map(tuple, kept.collect())) == [(1, None), (2, "x")] and kept.schema == df.schema
+    assert materialize(df.limit(0), "empty").count() == 0
+    assert drop_materialized(spark) == 2 and drop_materialized(spark) == 0
+
+
 def test_resume(spark, tmp_path):
     todo = spark.createDataFrame([("a",), ("b",), ("c",)], "query string")
     out = str(tmp_path / "out")
