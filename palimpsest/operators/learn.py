@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier, MultilayerPerceptronClassificationModel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, CountVectorizer, CountVectorizerModel
+from pyspark.ml.feature import IDF, PCA, CountVectorizer, CountVectorizerModel, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -63,6 +63,21 @@ def vectors(df: DataFrame, array: str, out: str = "features") -> DataFrame:
     return df.filter(F.col(array).isNotNull()).withColumn(out, array_to_vector(F.col(array).cast("array<double>")))
 
 
+def hashed_vectors(df: DataFrame, tokens: str = "tokens", size: int = 256, out: str = "embedding") -> DataFrame:
+    """Adds a vector of length 1 for each token array: hashed term frequencies times idf. A stand-in where no encoder is at hand.
+
+    Texts without tokens have a vector of zeros. Vectors of an encoder are used the same way: as an array column.
+    """
+    tf = HashingTF(inputCol=tokens, outputCol="_tf", numFeatures=size).transform(df)
+    x = IDF(inputCol="_tf", outputCol="_tfidf").fit(tf).transform(tf)
+    return Normalizer(inputCol="_tfidf", outputCol="_unit").transform(x).withColumn(out, vector_to_array("_unit")).drop("_tf", "_tfidf", "_unit")
+
+
+def save_model(model, path: str) -> None:
+    """Stores a fitted model, replacing what is there."""
+    model.write().overwrite().save(path)
+
+
 def kmeans(df: DataFrame, k: int, seed: int = 42, features: str = "features") -> DataFrame:
     """Adds ``cluster``."""
     return KMeans(k=k, seed=seed, featuresCol=features, predictionCol="cluster").fit(df).transform(df)

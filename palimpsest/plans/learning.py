@@ -15,6 +15,7 @@ from palimpsest.operators import annotate, learn
 from palimpsest.operators.evaluate import agreement, class_report
 from palimpsest.operators.lineage import shared_folder
 from palimpsest.operators.rank import ranked
+from palimpsest.operators.similarity import cosine
 from palimpsest.plans import base as b
 from palimpsest.plans.base import DOCS, QRELS, RUNS, TOPICS, TOPICS_ONCE, Registry, tokens_sql
 from palimpsest.sources.tables import table
@@ -161,6 +162,23 @@ def _vectors(spark: SparkSession, root: str) -> DataFrame:
     return learn.vectors(table(spark, root, "embeddings"), "embedding")
 
 
+@R.query()
+def embedding_unchanged(spark: SparkSession, root: str) -> DataFrame:
+    """Pages whose vectors at two snapshots have a cosine of 0.9 or more; vectors are hashed TF-IDF."""
+    d = b.docs(spark, root).filter("text is not null and sub_collection in ('2023-02', '2023-03')")
+    v = learn.hashed_vectors(d.select("docid", "sub_collection", word_tokens(F.col("text")).alias("tokens"))).drop("tokens")
+    side = lambda s, c: v.filter(F.col("sub_collection") == s).select("docid", F.col("embedding").alias(c))
+    pairs = side("2023-02", "x").join(side("2023-03", "y"), "docid")
+    return pairs.select("docid", F.round(cosine(F.col("x"), F.col("y")), 6).alias("similarity")).filter("similarity >= 0.9")
+
+
+@R.query()
+def topic_clusters(spark: SparkSession, root: str) -> DataFrame:
+    """Topics clustered by hashed vectors of their stems."""
+    t = analyze(b.topics_once(spark, root), ["qid"], "query", "topic").groupBy("qid").agg(F.array_sort(F.collect_list("stem")).alias("tokens"))
+    return learn.kmeans(learn.vectors(learn.hashed_vectors(t, size=64), "embedding"), 10).select("qid", "cluster")
+
+
 @R.query()
 def kmeans_clusters(spark: SparkSession, root: str) -> DataFrame:
     return learn.kmeans(_vectors(spark, root), 10).select("vec_id", "cluster")

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from palimpsest.config import SPAM_QIDS
 from palimpsest.functions.ids import add_prefix, bare_docid, source_name, strip_chars, strip_prefix
-from palimpsest.functions.text import clean_query, fold_accents, safe_unit, word_tokens
+from palimpsest.functions.text import clean_query, drop_punctuation, fold_accents, safe_unit, split_elisions, word_tokens
 from palimpsest.operators.rank import factor_map, ranked, top_k
 from palimpsest.operators.snapshots import latest
 from palimpsest.plans import base as b
@@ -341,4 +341,36 @@ def topic_history(spark: SparkSession, root: str) -> DataFrame:
     return b.topics(spark, root).select("sub_collection", "qid", F.count("*").over(w).alias("snapshots"), F.row_number().over(w.orderBy("sub_collection")).alias("nth"))
 
 
+@R.query("select event_id, user_id, cast(json_extract_string(props, '$.k') as int) as k from events where cast(json_extract_string(props, '$.k') as int) >= 50")
+def json_path(spark: SparkSession, root: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").try_cast("int")
+    return table(spark, root, "events").select("event_id", "user_id", k.alias("k")).filter("k >= 50")
+
+
+@R.query(
+    f"with {TOPICS_ONCE} select qid, lower(query) as lowered, replace(replace(query, 'l''', 'l '), 'd''', 'd ') as elided, regexp_replace(query, '[^\\p{{L}}\\p{{N}}_\\s]|\\p{{Nd}}', '', 'g') as bare, "
+    "len(string_split(trim(query), ' ')) as parts, substr(query, 1, 8) as cut, 'q' || qid as named, replace(query, ' ', chr(10)) as lines, query like 'c%' as starts, query like '%s' as ends, "
+    "regexp_full_match(query, '\\p{L}+') as letters, length(query) as chars, round(log10(length(query)), 6) as log_10, round(1 / (1 + ln(1 + length(query))), 6) as damped, lpad(qid, 8, '0') as padded from topics_once"
+)
+def scalar_functions(spark: SparkSession, root: str) -> DataFrame:
+    q, n = F.col("query"), F.length("query").cast("double")
+    return b.topics_once(spark, root).select(
+        "qid",
+        F.lower(q).alias("lowered"),
+        split_elisions(q).alias("elided"),
+        drop_punctuation(q, digits=True).alias("bare"),
+        F.size(F.split(F.trim(q), " ")).alias("parts"),
+        F.substring(q, 1, 8).alias("cut"),
+        F.concat(F.lit("q"), "qid").alias("named"),
+        F.replace(q, F.lit(" "), F.lit("\n")).alias("lines"),
+        F.startswith(q, F.lit("c")).alias("starts"),
+        F.endswith(q, F.lit("s")).alias("ends"),
+        q.rlike("^\\p{L}+$").alias("letters"),
+        F.length(q).alias("chars"),
+        F.round(F.log10(n), 6).alias("log_10"),
+        F.round(1 / (1 + F.log1p(n)), 6).alias("damped"),
+        F.lpad("qid", 8, "0").alias("padded"),
+    )
+
+
 QUERIES, ORACLE = R.queries, R.oracle

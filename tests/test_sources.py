@@ -96,6 +96,20 @@ def test_vocabulary_and_gate(spark):
     assert {r.docid: round(r.score, 6) for r in learn.gate(run, p, c).collect()} == {1: 3.6, 2: 2.0, 3: 2.0}
 
 
+def test_models_round_trip(spark, tmp_path):
+    from pyspark.ml.classification import LogisticRegressionModel
+
+    rows = [(i, ["a", "b"] if i % 2 else ["c"], i % 2) for i in range(40)] + [(99, [], 0)]
+    df = learn.hashed_vectors(spark.createDataFrame(rows, "id int, tokens array<string>, label int"), size=16)
+    lengths = {round(sum(v * v for v in r.embedding), 6) for r in df.collect()}
+    assert lengths == {0.0, 1.0}
+    m = learn.fit_relevance(learn.vectors(df, "embedding"), weight=None)
+    learn.save_model(m, str(tmp_path / "m"))
+    again = LogisticRegressionModel.load(str(tmp_path / "m")).transform(learn.vectors(df, "embedding"))
+    assert learn.classification_metrics(again).first().accuracy == 1.0
+    assert again.select(learn.positive_probability().alias("p")).filter("p > 0.5").count() == 20
+
+
 @pytest.fixture(scope="module")
 def con():
     import duckdb
