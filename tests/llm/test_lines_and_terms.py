@@ -74,6 +74,22 @@ def test_sequences_against_brute_force(snapshot):
     assert got == want and any(len(c) == 3 for c, _ in want)
 
 
+def test_sequences_of_every_length(snapshot):
+    texts = ["a\nb\na\nc\nd\ne"] * 8 + ["a\nb\nx\nd\ne"] * 2 + ["e\nd"]
+    rows = [(f"doc{i}", "2023-01", t, "http://h.example", 1) for i, t in enumerate(texts)]
+    rows += [("doc0", "2023-02", "e\nd", "http://h.example", 1), ("doc1", "2023-02", "a\nb\nd\ne", "http://h.example", 1)]
+    support = defaultdict(set)
+    for d, _, t, *_ in rows:
+        lines = t.split("\n")
+        for n in range(1, len(lines) + 1):
+            for c in itertools.combinations(lines, n):
+                support[c].add(d)
+    want = {(c, len(s)) for c, s in support.items() if len(s) >= 8}
+    got = [(tuple(r.lines), r.docs) for r in line_sequences(snapshot(rows)).collect()]
+    assert sorted(got) == sorted(want) and max(len(c) for c, _ in want) == 6
+    assert line_sequences(snapshot([])).count() == 0
+
+
 def news(hosts=3, pages=40):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
