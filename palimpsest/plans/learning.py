@@ -24,7 +24,7 @@ from palimpsest.sources.trec import read_run, write_run
 R = Registry()
 
 #: Size of the vocabulary that documents are encoded with.
-VOCABULARY = 500
+VOCABULARY = 10_000
 
 _TERMS = f"{DOCS}, terms as (select docid, sub_collection, unnest({tokens_sql('text')}) as term from current_row)"
 _VOCAB = f"{_TERMS}, vocab as (select term, count(*) as count, row_number() over (order by count(*) desc, term) - 1 as idx from terms group by term order by count(*) desc, term limit {VOCABULARY})"
