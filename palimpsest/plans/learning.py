@@ -186,7 +186,7 @@ def kmeans_clusters(spark: SparkSession, root: str) -> DataFrame:
 
 @R.query()
 def silhouette_sweep(spark: SparkSession, root: str) -> DataFrame:
-    t = learn.silhouettes(_vectors(spark, root), list(range(2, 9)))
+    t = learn.silhouettes(_vectors(spark, root), list(range(2, 100)))
     return t.withColumn("best", F.col("k") == learn.best_k(t)).withColumn("silhouette", F.round("silhouette", 6))
 
 

@@ -309,12 +309,22 @@ def _sweep(configured: DataFrame, score: F.Column, spark: SparkSession, root: st
     f"{metric_sql('x', 'config, boost, name')} select config, boost, name, {_MEANS} from qm group by all"
 )
 def boost_sweep(spark: SparkSession, root: str) -> DataFrame:
-    g = grid(spark, boost=[round(1 + 0.01 * i, 2) for i in range(11)])
+    return _boost_sweep(spark, root, 11)
+
+
+def _boost_sweep(spark: SparkSession, root: str, steps: int) -> DataFrame:
+    g = grid(spark, boost=[round(1 + 0.01 * i, 2) for i in range(steps)])
     rare = _dates(spark, root).filter("n_dates <= 3").select("docid", F.lit(1).alias("rare"))
     run = with_configs(_judged_runs(spark, root).join(rare, "docid", "left"), g)
     return _sweep(run, F.col("score") * F.when(F.col("rare").isNotNull(), F.col("boost")).otherwise(1.0), spark, root, ["boost"])
 
 
+@R.query()
+def boost_sweep_full(spark: SparkSession, root: str) -> DataFrame:
+    """The reference's 110 steps, 1.00 to 2.09."""
+    return _boost_sweep(spark, root, 110)
+
+
 @R.query(
     f"with {RUNS}, {QRELS_ANY}, {CATEGORIES}, s as (select round(1 + 0.1 * i, 1)::double as v from range(2) t(i)), "
     "g as (select (row_number() over (order by a.v, b.v, c.v, d.v) - 1)::int as config, a.v as w_independent, b.v as w_timeliness, c.v as w_event, d.v as w_explicit from s a, s b, s c, s d), "
@@ -323,14 +333,24 @@ def boost_sweep(spark: SparkSession, root: str) -> DataFrame:
     f"{metric_sql('x', 'config, w_independent, w_timeliness, w_event, w_explicit, name')} select config, w_independent, w_timeliness, w_event, w_explicit, name, {_MEANS} from qm group by all"
 )
 def category_grid(spark: SparkSession, root: str) -> DataFrame:
+    return _category_grid(spark, root, [1.0, 1.1])
+
+
+def _category_grid(spark: SparkSession, root: str, factors: list[float]) -> DataFrame:
     axes = ["w_independent", "w_timeliness", "w_event", "w_explicit"]
-    g = grid(spark, **{a: [1.0, 1.1] for a in axes})
+    g = grid(spark, **{a: factors for a in axes})
     run = with_configs(_judged_runs(spark, root).join(b.categories(spark, root), "qid", "left"), g)
     c = F.col("category")
     f = F.when(c == "time-independent", F.col(axes[0])).when(c == "timeliness", F.col(axes[1])).when(c == "event", F.col(axes[2])).when(c == "explicit-time", F.col(axes[3])).otherwise(1.0)
     return _sweep(run, F.col("score") * f, spark, root, axes)
 
 
+@R.query()
+def category_grid_full(spark: SparkSession, root: str) -> DataFrame:
+    """The reference's 625 configurations: 1.00 to 1.20 in steps of 0.05 for each category."""
+    return _category_grid(spark, root, [1.0, 1.05, 1.1, 1.15, 1.2])
+
+
 _WEIGHTS = (
     f"with {DOCS}, {RUNS}, {QRELS_ANY}, {CATEGORIES}, {_TAGS}, o as (select docid, count(*) as occurrences from current_row group by docid), s as (select unnest([0.5, 1.0]::double[]) as v), "
     "g as (select (row_number() over (order by a.v, b.v, c.v) - 1)::int as config, a.v as w_score, b.v as w_count, c.v as w_tag from s a, s b, s c), "
@@ -341,16 +361,32 @@ _WEIGHTS = (
 
 @R.query(_WEIGHTS + "select * from t")
 def weight_grid(spark: SparkSession, root: str) -> DataFrame:
-    g = grid(spark, w_score=[0.5, 1.0], w_count=[0.5, 1.0], w_tag=[0.5, 1.0])
+    return _weight_grid(spark, root, [0.5, 1.0])
+
+
+def _weight_grid(spark: SparkSession, root: str, weights: list[float]) -> DataFrame:
+    g = grid(spark, w_score=weights, w_count=weights, w_tag=weights)
     q = b.qrels_any(spark, root).filter("label > 0").select("qid").distinct()
     run = with_configs(_tagged(spark, root).join(q, "qid", "left_semi"), g)
     s = F.col("w_score") * F.col("score") + F.col("w_count") * F.coalesce("occurrences", F.lit(1)) + F.col("w_tag") * F.coalesce("tag", F.lit(0.0))
     return _sweep(run, s, spark, root, ["w_score", "w_count", "w_tag"])
 
 
+@R.query()
+def weight_grid_full(spark: SparkSession, root: str) -> DataFrame:
+    """The reference's 64 configurations."""
+    return _weight_grid(spark, root, [1e3, 3e3, 1e4, 1e8])
+
+
 @R.query(_WEIGHTS + "select config, name, ap from t order by ap desc, config, name limit 1")
 def best_configuration(spark: SparkSession, root: str) -> DataFrame:
     return ev.best(weight_grid(spark, root), "ap", ["config", "name"]).select("config", "name", "ap")
 
 
+@R.query()
+def best_configuration_full(spark: SparkSession, root: str) -> DataFrame:
+    """The best of the 64 configurations of weight_grid_full."""
+    return ev.best(weight_grid_full(spark, root), "ap", ["config", "name"]).select("config", "name", "ap")
+
+
 QUERIES, ORACLE = R.queries, R.oracle
