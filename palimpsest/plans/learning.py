@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.config import CATEGORIES as CATEGORY_NAMES
@@ -228,12 +228,22 @@ def relevance_model(spark: SparkSession, root: str) -> DataFrame:
 def cluster_gated_rerank(spark: SparkSession, root: str) -> DataFrame:
     """Scores times twice the probability of relevance where a page's cluster is the topic's.
 
-    Stand-ins for predictions: a page takes the label and the first coordinate of a vector picked by its id.
+    Stand-ins for predictions: a page takes the label and the first coordinate of a vector picked by its id among the first 500.
     """
+    return _gated(spark, root, F.col("docid") % 500)
+
+
+@R.query()
+def cluster_gated_rerank_full(spark: SparkSession, root: str) -> DataFrame:
+    """As cluster_gated_rerank, with pages spread over all vectors of the table, whose vec_id counts from 0."""
+    return _gated(spark, root, F.col("docid") % table(spark, root, "embeddings").count())
+
+
+def _gated(spark: SparkSession, root: str, vector: Column) -> DataFrame:
     run = b.runs(spark, root)
     p = table(spark, root, "embeddings").select(F.col("vec_id").alias("_v"), F.col("label").alias("cluster"), F.round(1 / (1 + F.exp(-F.col("embedding")[0].cast("double"))), 6).alias("p_rel"))
     ids = run.select("docid").distinct()
-    predictions = ids.join(p, F.col("docid") % 500 == F.col("_v")).select("docid", "cluster", "p_rel")
+    predictions = ids.join(p, vector == F.col("_v")).select("docid", "cluster", "p_rel")
     x = learn.gate(run, predictions, _clusters(spark, root)).withColumn("score", F.round("score", 6))
     return ranked(x, ["name", "qid"]).select("name", "qid", "docid", "score", "rank")
 
