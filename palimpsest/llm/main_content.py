@@ -1,160 +1,190 @@
-"""Main body of pages by a site style tree: pages of one host are merged, and branches that say little are cut from each page.
-
-A page of ``text_fr`` has no tags left; its tree is the host, then the presentation of a line (its template: figures and
-capitalised names masked, the first word kept), then its content (the line itself, figures masked). Merging the pages of a host gives
-each node the number of pages that have it. The importance of a node is the entropy a node could have at most, log2 of the number of
-pages m, less the entropy it has, log2 of the n pages it is spread over: log2(m / n) bits. Furniture stands
-on a large share of a host's pages and has few bits; headlines, paragraphs and sub-headings have many.
+"""Main body of pages by a site style tree: pages are merged by host, nodes that say little are found by entropy, their branches are cut.
+
+``text_fr`` has lost its tags, so a line's place in the tree is host, presentation, content. A presentation is read from the characters alone: the
+line with names and figures masked (with and without its first word), and, further up, the kinds of its first and last character (its *tag*).
+One measure serves all nodes: the bits that a node tells about its page, given the pages that have it.
+
+1. *Leaves.* A node that stands on a share p of a host's pages tells log2(1 / p) bits. The share is that of the host's other pages, smoothed with
+   the composite share of the same node on all other hosts, so that a host of three pages is judged by the same formula as one of a million
+   and a family of near copies on one host is no furniture of other hosts. Nodes under ``MIN_BITS`` are furniture, and their branches are cut.
+2. *Heads and bodies.* The first line left on a page is its head node, the others are its body nodes. A body branch whose tag and opening are more
+   likely in a head (a positive log-likelihood ratio, openings smoothed by Witten and Bell) is the head of another page: a pointer.
+   A label before it is a node whose continuations are heads and spread with at least ``LABEL_BITS`` of entropy; it is cut with what it points to.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from palimpsest.functions.text import nfc, squeeze
 from palimpsest.operators.lineage import materialize
 from palimpsest.operators.snapshots import current_texts
 
-#: Branches below so many bits of importance are furniture: they stand on more than 15 % of a host's pages.
-MIN_BITS = 2.7
-#: Fewest pages of a host on which a node must stand, and fewest pages of a host whose tree is read for the general tree.
-MIN_PAGES, TREE_PAGES = 8, 30
-#: Fewest pages of a host whose own tree may cut lines of more than three words: in small hosts a family of near copies looks like furniture.
-OWN_PAGES = 100
-#: Share of pages from which the first two words of a headline count as a headline's style.
-STYLE_SHARE = 0.01
+#: A node that tells fewer bits stands on more than 13 % of the pages: furniture.
+MIN_BITS = 2.9
+#: Weight of the other hosts' share, in pages.
+PRIOR_PAGES = 20
+#: Entropy of the continuations from which a prefix is a label.
+LABEL_BITS = 3.0
+#: Longest label, in words.
+LABEL_WORDS = 3
+
+_NAME = "(?<![\\p{L}'])\\p{Lu}[\\p{L}'-]*"
+_PAGE = ["host", "docid", "fp"]
 
 
-def _content(line: Column) -> Column:
-    return F.regexp_replace(F.lower(line), "\\p{N}+", "#")
+def _figures(c: Column) -> Column:
+    return F.regexp_replace(c, "\\p{N}+", "#")
 
 
-_NAME = "(?<![\\p{L}'])\\p{Lu}[\\p{L}'-]*"
+def _shape(line: Column, shouted: Column) -> Column:
+    """Names and figures masked, rows of names as one; a line in capitals has no names to mask."""
+    names = F.regexp_replace(F.regexp_replace(line, _NAME, "§"), "§(?:[ |/>·-]*§)+", "§")
+    return _figures(F.when(shouted, line).otherwise(names))
 
 
-def _masked(line: Column) -> Column:
-    masked = F.regexp_replace(F.regexp_replace(line, _NAME, "§"), "\\p{N}+", "#")
-    masked = F.regexp_replace(masked, "§(?:[ |/>·-]*§)+", "§")
-    shouted = (line == F.upper(line)) & (F.size(F.split(line, " ")) > 3)
-    return F.when(shouted, line).otherwise(masked)
+def _first_kind(word: Column) -> Column:
+    c = F.substring(word, 1, 1)
+    return F.when(c.rlike("\\p{Lu}"), "A").when(c.rlike("\\p{L}"), "a").when(c.rlike("\\p{N}"), "#").otherwise(c)
 
 
-def _template(line: Column) -> Column:
-    first = F.regexp_extract(line, "^(\\S+)", 1)
-    rest = F.substring(line, F.length(first) + 1, F.length(line))
-    return F.concat(F.regexp_replace(F.lower(first), "\\p{N}+", "#"), _masked(rest))
+def _last_kind(line: Column) -> Column:
+    c = F.substring(line, -1, 1)
+    return F.when(c.rlike("\\p{L}"), "a").when(c.rlike("\\p{N}"), "#").otherwise(c)
 
 
 def page_lines(snapshot: DataFrame) -> DataFrame:
-    """The non-empty lines of the distinct texts of current rows, as numbers and flags; no text is kept.
+    """The non-empty lines of the distinct texts of current rows: host ('' if unknown), docid, fp, subs, line_no, nodes, parts.
 
-    host ('' if unknown), docid, fp, subs, line_no, content, template and shape (hashes; the shape masks a name as first word, too), own (made by
-    the site: the line names the page's docid, or is no sentence and holds a reference number, items between separators or three names at its start), opening (hash of the first two words), inner (the same from the first name
-    or figure after one to three words: what a pointer's label is followed by), label (the words before it), and the form:
-    prose (ends as a sentence), question, item (starts as a list line does), short (up to three words).
+    ``nodes`` are hashes of the line's content, its shape after the first word, and its shape. ``parts`` are, for the whole line and for
+    what follows its first one to ``LABEL_WORDS`` words (as long as three words are left), the tag, a hash of the opening (two words) and a hash
+    of the words before. No text is kept.
     """
     t = current_texts(snapshot).filter("text is not null")
     own = F.transform("seen", lambda s: F.coalesce(s["host"], F.lit("")))
     t = t.select("docid", "fp", "text", "seen", F.explode(F.array_distinct(own)).alias("host"))
     subs = F.transform(F.filter("seen", lambda s: F.coalesce(s["host"], F.lit("")) == F.col("host")), lambda s: s["sub_collection"])
-    flat = t.select("host", "docid", "fp", subs.alias("subs"), F.posexplode(F.split(nfc(F.col("text")), "\n")).alias("p", "raw"))
+    flat = t.select(*_PAGE, subs.alias("subs"), F.posexplode(F.split(nfc(F.col("text")), "\n")).alias("p", "raw"))
     line = F.translate(squeeze(F.col("raw")), "’;", "',")
-    flat = flat.select("host", "docid", "fp", "subs", (F.col("p") + 1).alias("line_no"), F.replace(line, F.lit(" ,"), F.lit(",")).alias("line")).filter("line <> ''")
-    ended = F.col("line").rlike("[.!?…][»\"”) ]*$|»$")
-    return flat.select(
-        "host",
-        "docid",
-        "fp",
-        "subs",
-        "line_no",
-        F.xxhash64(_content(F.col("line"))).alias("content"),
-        F.xxhash64(F.lit("t"), _template(F.col("line"))).alias("template"),
-        F.xxhash64(F.lit("g"), _masked(F.col("line"))).alias("shape"),
-        (F.contains(F.col("line"), F.col("docid").cast("string")) | (~ended & F.col("line").rlike("\\p{N}{5}|(?: [|·/>-] .*){3}|^(?:\\p{Lu}\\p{Ll}\\S* ){3}"))).alias("own"),
-        F.xxhash64(F.regexp_extract(_content(F.col("line")), "^(\\S+ \\S+)", 1)).alias("opening"),
-        F.xxhash64(_content(F.regexp_extract(F.col("line"), "^(?:\\S+ ){1,3}?([\\p{Lu}\\p{N}]\\S* \\S+)", 1))).alias("inner"),
-        F.when(F.col("line") != F.upper("line"), F.nullif(F.lower(F.regexp_extract(F.col("line"), "^((?:\\S+ ){1,3}?)[\\p{Lu}\\p{N}]\\S* \\S+", 1)), F.lit(""))).alias("label"),
-        (ended & ~F.col("line").rlike("\\?$") | (F.size(F.split("line", " ")) >= 16)).alias("prose"),
-        F.col("line").rlike("\\?$").alias("question"),
-        F.col("line").rlike("^(?:[•*·–—-]\\s*)?(?:\\p{N}+|\\p{Ll}\\S*) \\S+ (?:de |d')").alias("item"),
-        (F.size(F.split("line", " ")) <= 3).alias("short"),
-    )
+    flat = flat.select(*_PAGE, "subs", (F.col("p") + 1).alias("line_no"), F.replace(line, F.lit(" ,"), F.lit(",")).alias("line")).filter("line <> ''")
+    flat = flat.withColumn("shape", _shape(F.col("line"), F.col("line") == F.upper("line"))).withColumn("content", _figures(F.lower("line")))
+    flat = flat.withColumn("raw", F.split("line", " ")).withColumn("word", F.split("content", " ")).withColumn("last", _last_kind(F.col("line")))
+    first_word = F.element_at("word", 1)
+    template = F.concat(first_word, F.regexp_replace("shape", "^\\S+", ""))
+
+    def part(k: int) -> Column:
+        tag = F.concat(_first_kind(F.get("raw", F.lit(k))), "last")
+        return F.struct(tag.alias("tag"), F.xxhash64(F.slice("word", k + 1, 2)).alias("op"), F.xxhash64(F.slice("word", 1, k)).alias("pre"))
+
+    parts = F.filter(F.array(part(0), *(F.when(F.size("word") >= k + 3, part(k)) for k in range(1, LABEL_WORDS + 1))), lambda x: x.isNotNull())
+    nodes = F.array(F.xxhash64(F.lit("c"), "content"), F.xxhash64(F.lit("t"), template), F.xxhash64(F.lit("s"), "shape"))
+    return flat.select(*_PAGE, "subs", "line_no", nodes.alias("nodes"), parts.alias("parts"))
 
 
-def noisy_nodes(lines: DataFrame) -> DataFrame:
-    """host, node: contents and templates of low importance in the merged tree of their host.
+def furniture_nodes(lines: DataFrame) -> DataFrame:
+    """host, node: nodes of fewer than ``MIN_BITS`` bits.
 
-    A node's pages are distinct docids, counted in two steps with partial sums; the key is (host, node), so that a host of a third of
-    all pages is spread over its nodes. At most (lines per page / 0.15) nodes of a host can pass.
+    n of a host's m pages have the node; the others' share is (n - 1) / (m - 1). The composite share of a node is the mean of its
+    hosts' shares, weighted by its pages there; for each host it is taken without the host itself. Pages without a host have the other hosts' share only.
+    Counts are distinct docids in two steps with partial sums; keys are (host, node), so a host of a third of all pages is spread over its nodes.
     """
     pages = lines.select("host", "docid").distinct().groupBy("host").agg(F.count("*").alias("m"))
-    nodes = lines.select("host", "docid", "short", F.explode(F.array("content", "template")).alias("node")).distinct()
-    nodes = nodes.groupBy("host", "node").agg(F.count("*").alias("n"), F.min("short").alias("short"))
-    nodes = nodes.filter(F.col("n") >= MIN_PAGES).join(pages, "host")
-    return nodes.filter((F.col("host") != "") & (F.log2(F.col("m") / F.col("n")) < MIN_BITS)).select("host", "node", "m", "n", "short")
+    n = lines.select("host", "docid", F.explode("nodes").alias("node")).distinct().groupBy("host", "node").agg(F.count("*").alias("n"))
+    n = n.join(pages, "host").withColumn("known", F.col("host") != "")
+    n = n.withColumn("own", F.when(F.col("known"), F.col("n") - 1).otherwise(0)).withColumn("of", F.when(F.col("known"), F.col("m") - 1).otherwise(0))
+    n = n.withColumn("k", F.when(F.col("known"), F.col("n")).otherwise(0)).withColumn("w", F.when(F.col("of") > 0, F.col("k") * F.col("own") / F.col("of")).otherwise(0.0))
+    n = materialize(n.select("host", "node", "own", "of", "k", "w"), "p3-nodes")
+    composite = n.groupBy("node").agg(F.sum("w").alias("w_all"), F.sum("k").alias("k_all")).filter("w_all > 0")
+    x = n.join(composite, "node")
+    others = F.when(F.col("k_all") > F.col("k"), (F.col("w_all") - F.col("w")) / (F.col("k_all") - F.col("k"))).otherwise(0.0)
+    share = (F.col("own") + PRIOR_PAGES * others) / (F.col("of") + PRIOR_PAGES)
+    return x.filter(-F.log2(share) < MIN_BITS).select("host", "node")
+
+
+def _likelihoods(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """How much likelier tags and openings are in heads than in bodies: tags (tag, unseen) and openings (tag, op, bits), positive tags only.
+
+    Counts are of distinct contents per host, so that neither copies of a page nor near copies count again. ``unseen`` are the bits of an
+    opening that no whole line of the tag has.
+    """
+    one = rest.select("host", F.element_at("nodes", 1).alias("content"), "head", F.element_at("parts", 1).alias("x")).distinct()
+    o = one.groupBy("x.tag", "x.op").agg(F.count(F.when(F.col("head"), 1)).alias("h"), F.count(F.when(~F.col("head"), 1)).alias("b"))
+    o = materialize(o, "p3-openings")
+    t = o.groupBy("tag").agg(F.sum("h").alias("heads"), F.sum("b").alias("bodies"), F.count(F.when(F.col("h") > 0, 1)).alias("head_ops"), F.count(F.when(F.col("b") > 0, 1)).alias("body_ops"))
+    total = t.agg(F.sum("heads").alias("all_heads"), F.sum("bodies").alias("all_bodies")).withColumn("_k", F.lit(1))
+    t = t.withColumn("_k", F.lit(1)).join(total, "_k").drop("_k")
+    t = t.withColumn("of_tag", F.log2((F.col("heads") + 0.5) / (F.col("all_heads") + 1)) - F.log2((F.col("bodies") + 0.5) / (F.col("all_bodies") + 1))).filter("heads > 0 and of_tag > 0")
 
+    def bits(h: Column, b: Column) -> Column:
+        kinds = F.col("head_ops") + F.col("body_ops") + 1
+        ph = F.when(h > 0, h).otherwise(F.col("head_ops") / kinds) / (F.col("heads") + F.col("head_ops"))
+        pb = F.when(b > 0, b).otherwise(F.greatest(F.col("body_ops"), F.lit(1)) / kinds) / F.greatest(F.col("bodies") + F.col("body_ops"), F.lit(1))
+        return F.col("of_tag") + F.log2(ph) - F.log2(pb)
 
-def general_noise(lines: DataFrame, noisy: DataFrame) -> DataFrame:
-    """shape: shapes of lines whose templates are furniture in most of their places in the trees of hosts with enough pages.
+    tags = materialize(t.withColumn("unseen", bits(F.lit(0), F.lit(0))), "p3-tags")
+    return tags.select("tag", "unseen"), o.join(tags, "tag").select("tag", "op", bits(F.col("h"), F.col("b")).alias("bits"))
 
-    They hold for pages without a host and hosts of few pages, whose own trees say little.
-    """
-    pages = lines.select("host", "docid").distinct().groupBy("host").agg(F.count("*").alias("m"))
-    places = lines.groupBy("host", "template", "shape").agg(F.count("*").alias("n"))
-    low = noisy.select("host", F.col("node").alias("template"), F.lit(True).alias("low"))
-    places = places.join(pages.filter((F.col("m") >= TREE_PAGES) & (F.col("host") != "")), "host").join(low, ["host", "template"], "left")
-    sums = places.groupBy("shape").agg(
-        F.sum("n").alias("all"), F.coalesce(F.sum(F.when(F.col("low"), F.col("n"))), F.lit(0)).alias("low"), F.countDistinct(F.when(F.col("low"), F.col("host"))).alias("hosts")
-    )
-    return sums.filter((F.col("hosts") >= 2) & (F.col("low") >= 0.5 * F.col("all"))).select("shape")
+
+def _scored(parts: DataFrame, tags: DataFrame, openings: DataFrame) -> DataFrame:
+    """Adds ``alike`` (likelier in a head) to rows with tag and op; rows of a tag that is likelier in bodies fall out."""
+    x = parts.join(tags, "tag").join(openings, ["tag", "op"], "left")
+    return x.withColumn("alike", F.coalesce("bits", "unseen") > 0).drop("bits", "unseen")
 
 
-def classified_lines(snapshot: DataFrame) -> DataFrame:
-    """host, docid, fp, subs, line_no, main for every non-empty line of the current rows.
+def labels(rest: DataFrame, tags: DataFrame, openings: DataFrame) -> DataFrame:
+    """pre: prefixes of body lines whose continuations are mostly heads, with at least ``LABEL_BITS`` of entropy over their openings.
 
-    After the noisy branches are cut, the first title left before any paragraph is the headline; a title is a line that is neither a
-    sentence nor a list line nor short, or a question that opens the way headlines open, be it after a label. A title behind a label that many pages have is no
-    headline. Further titles point to other pages.
-    Short lines and list lines before the headline are menus, after it sub-headings and the article's list. Without a
-    headline all short lines, list lines and paragraphs that remain are kept.
+    A line that is itself likelier a head has no label.
+    """
+    one = rest.filter("not head").select("host", F.element_at("nodes", 1).alias("content"), "parts").distinct()
+    one = one.select("parts", F.element_at("parts", 1).alias("x")).select("parts", "x.tag", "x.op")
+    known = openings.filter("bits > 0").select("tag", "op")
+    flat = one.join(known, ["tag", "op"], "left_anti").select(F.inline(F.slice("parts", 2, LABEL_WORDS)))
+    seen = flat.groupBy("pre", "tag", "op").agg(F.count("*").alias("n"))
+    scored = _scored(seen, tags, openings).select("pre", "op", "n", F.when(F.col("alike"), F.col("n")).otherwise(0).alias("a"))
+    every = seen.groupBy("pre", "op").agg(F.sum("n").alias("n")).groupBy("pre").agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.log2("n")).alias("n_log_n"))
+    heads = scored.groupBy("pre").agg(F.sum("a").alias("alike"))
+    x = heads.filter("alike > 0").join(every, "pre")
+    return x.filter((F.col("alike") > 0.5 * F.col("total")) & (F.log2("total") - F.col("n_log_n") / F.col("total") > LABEL_BITS)).select("pre")
+
+
+def classified_pages(snapshot: DataFrame) -> DataFrame:
+    """host, docid, fp, subs, gone (sorted line numbers): the non-empty lines of each page that are not main body.
+
+    Of the head-like lines before the first body line the last is the headline; labels with what they point to and all other head-like lines are cut.
     """
     lines = materialize(page_lines(snapshot), "p3-lines")
-    noisy = materialize(noisy_nodes(lines), "p3-noisy")
-    general = materialize(general_noise(lines, noisy), "p3-general")
-    host_nodes = noisy.filter(F.col("short") | (F.col("m") >= OWN_PAGES)).select("host", "node")
-    x = lines.join(host_nodes.select("host", F.col("node").alias("content"), F.lit(True).alias("c")), ["host", "content"], "left")
-    x = x.join(host_nodes.select("host", F.col("node").alias("template"), F.lit(True).alias("t")), ["host", "template"], "left")
-    x = x.join(general.withColumn("g", F.lit(True)), "shape", "left")
-    noise = F.col("own") | F.coalesce("c", "t", "g", F.lit(False))
-    x = materialize(x.select("host", "docid", "fp", "subs", "line_no", "opening", "inner", "label", "prose", "question", "item", "short", noise.alias("noise")), "p3-cut")
-    page = ["host", "docid", "fp"]
-    plain = ~F.col("noise") & ~F.col("prose") & ~F.col("short")
-    first = x.filter(plain).groupBy(*page).agg(F.min_by("opening", "line_no").alias("opening"))
-    total = x.select("docid").distinct().count()
-    style = first.groupBy("opening").agg(F.countDistinct("docid").alias("n")).filter(F.col("n") >= STYLE_SHARE * total).select("opening", F.lit(True).alias("styled"))
-    x = x.join(style, "opening", "left").join(style.select(F.col("opening").alias("inner"), F.col("styled").alias("labelled")), "inner", "left")
-    labels = x.filter(plain & F.col("label").isNotNull()).groupBy("label").agg(F.countDistinct("docid").alias("n"))
-    x = x.join(labels.filter(F.col("n") >= STYLE_SHARE * total).select("label", F.lit(True).alias("pointer")), "label", "left")
-    styled = F.coalesce("styled", "labelled", F.lit(False))
-    title = plain & F.when(F.col("question"), styled).otherwise(~F.col("item") | styled)
-    x = x.withColumn("title", title).withColumn("body", ~F.col("noise") & ~title & ~F.col("short") & ~F.col("item"))
-    w = Window.partitionBy(*page)
-    x = x.withColumn("head", F.min(F.when(F.col("title") & F.col("pointer").isNull(), F.col("line_no"))).over(w)).withColumn("para", F.min(F.when(F.col("body"), F.col("line_no"))).over(w))
-    x = x.withColumn("head", F.when(F.col("head") < F.coalesce("para", F.lit(1 << 30)), F.col("head")))
-    main = (
-        F.when(F.col("noise"), False)
-        .when(F.col("title"), F.coalesce(F.col("line_no") == F.col("head"), F.lit(False)))
-        .when(F.col("body"), True)
-        .otherwise(F.coalesce(F.col("line_no") > F.col("head"), F.lit(True)))
+    low = materialize(furniture_nodes(lines), "p3-furniture")
+    flat = lines.select(*_PAGE, "line_no", F.explode("nodes").alias("node")).join(low, ["host", "node"], "left_semi")
+    noise = flat.groupBy(*_PAGE).agg(F.collect_set("line_no").alias("noise"))
+    kept = F.array_sort(F.collect_list(F.struct("line_no", "nodes", "parts")))
+    pages = lines.groupBy(*_PAGE).agg(F.first("subs").alias("subs"), kept.alias("all")).join(noise, _PAGE, "left")
+    noise_of = F.coalesce("noise", F.array().cast("array<int>"))
+    pages = pages.select(*_PAGE, "subs", noise_of.alias("noise"), F.filter("all", lambda s: ~F.array_contains(noise_of, s["line_no"])).alias("rest"))
+    pages = materialize(pages, "p3-pages")
+    rest = pages.select(*_PAGE, F.posexplode("rest").alias("p", "s")).select(*_PAGE, (F.col("p") == 0).alias("head"), "s.*")
+    tags, openings = _likelihoods(rest)
+    openings = materialize(openings, "p3-bits")
+    label = materialize(labels(rest, tags, openings), "p3-labels")
+    parts = rest.select(*_PAGE, "line_no", F.posexplode("parts").alias("k", "s")).select(*_PAGE, "line_no", "k", "s.*")
+    scored = _scored(parts, tags, openings).filter("alike").join(label.withColumn("label", F.lit(True)), "pre", "left")
+    hits = scored.filter("k = 0 or label").groupBy(*_PAGE).agg(
+        F.collect_set(F.when(F.col("k") == 0, F.col("line_no"))).alias("like"), F.collect_set(F.when(F.col("k") > 0, F.col("line_no"))).alias("pointers")
     )
-    return x.select("host", "docid", "fp", "subs", "line_no", main.alias("main"))
+    x = pages.join(hits, _PAGE, "left")
+    none = F.array().cast("array<int>")
+    x = x.withColumn("like", F.coalesce("like", none)).withColumn("pointers", F.array_except(F.coalesce("pointers", none), "like"))
+    body = F.filter(F.transform("rest", lambda s: s["line_no"]), lambda n: ~F.array_contains("like", n) & ~F.array_contains("pointers", n))
+    x = x.withColumn("body", F.coalesce(F.array_min(body), F.lit((1 << 31) - 1)))
+    x = x.withColumn("title", F.array_max(F.filter("like", lambda n: n < F.col("body"))))
+    gone = F.array_union(F.array_union("noise", "pointers"), F.filter("like", lambda n: n != F.coalesce("title", F.lit(0))))
+    return x.select(*_PAGE, "subs", F.array_sort(gone).alias("gone"))
 
 
 def furniture_lines(snapshot: DataFrame) -> DataFrame:
-    """sub_collection, docid, line_no of the non-empty lines that are not main body. Null and blank texts give none."""
-    return classified_lines(snapshot).filter(~F.col("main")).select(F.explode("subs").alias("sub_collection"), "docid", "line_no")
+    """sub_collection, docid, line_no of the non-empty lines that are not main body. Null and blank texts and empty tables give none."""
+    return classified_pages(snapshot).select(F.explode("subs").alias("sub_collection"), "docid", "gone").select("sub_collection", "docid", F.explode("gone").alias("line_no"))
 
 
 def main_content(snapshot: DataFrame) -> DataFrame:
@@ -162,7 +192,7 @@ def main_content(snapshot: DataFrame) -> DataFrame:
 
     A row without such lines gives ''; null text stays null.
     """
-    gone = furniture_lines(snapshot).groupBy("sub_collection", "docid").agg(F.collect_list("line_no").alias("gone"))
+    gone = classified_pages(snapshot).select(F.explode("subs").alias("sub_collection"), "docid", "gone")
     rows = current_texts(snapshot).select("docid", "text", F.inline("seen")).join(gone, ["sub_collection", "docid"], "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: (squeeze(line) != "") & ~F.coalesce(F.array_contains("gone", i + 1), F.lit(False)))
     return rows.select("sub_collection", "docid", F.array_join(kept, "\n").alias("text"))

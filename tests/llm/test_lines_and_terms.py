@@ -119,6 +119,16 @@ def test_furniture(snapshot):
     assert {d: got[d] for d in want} == want
 
 
+def test_near_copies_on_a_small_host_are_kept(snapshot):
+    rows, want = news(3, 12)
+    body = "Un texte repris presque tel quel par ce site.\nIl compte deux paragraphes entiers."
+    rows += [(f"doc{9000 + i}", "2023-01", f"Accueil > Infos\nTitre {chr(97 + i)}bel du jour\n{body}\n© 2023 Site0 Nom", "http://h0.example/", 1) for i in range(4)]
+    got = defaultdict(set)
+    for r in furniture_lines(snapshot(rows)).collect():
+        got[r.docid].add(r.line_no)
+    assert all(got[9000 + i] == {1, 5} for i in range(4))
+
+
 def test_main_content_edges(snapshot):
     rows, _ = news(1, 40)
     rows += [("5000", "2023-01", None, None, 1), ("5001", "2023-01", "", "http://x.example", 1), ("5002", "2023-01", "Une phrase seule.", None, 1)]
