@@ -1,178 +1,200 @@
-"""Texts that break off inside a word or a sentence: a stack automaton over the structure, and baselines learned from all endings."""
+"""Texts that break off inside a word or a sentence: a stack automaton over the whole text, and baselines of endings learned per source.
+
+All of it stays in the JVM: the automaton folds over the marks of a text, endings are string functions of its last line. What an ending means is learned
+from the texts themselves. A last line stands in a tree of its beginnings (kind of its first character, one word, two, three, the whole line);
+each node has the share of its texts that end without a terminator, smoothed with the share of the node above it, first over all
+sources, then in the text's own. A text without a terminator is whole where such lines end so, and cut where they do not.
+"""
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.ids import source_name
 from palimpsest.operators.lineage import materialize
 
-#: Words that no line of French or English ends with.
-OPEN_WORDS = frozenset(
-    "le la les l un une des du de d à au aux et ou en dans par pour sur sous avec sans chez entre vers contre que qui dont où mais car donc si "
-    "ce cet cette ces son sa ses leur leurs notre nos votre vos mon ma mes chaque plusieurs très plus "
-    "the a an of by from to in on at with and or for our your their this that these those every".split()
-)
+#: Weight of the node above in a share, in texts.
+PRIOR_TEXTS = 5
+#: Share of whole endings assumed for a last word that no text has ended or broken off with.
+UNSEEN_ENDS = 0.75
+#: Share of a source's texts with exactly one size from which the size is a limit, and weight of the null share, in texts.
+LIMIT_SHARE, LIMIT_TEXTS = 0.03, 20
 #: Brackets and quotes that open, with what closes them.
 PAIRS = {"«": "»", "“": "”", "(": ")", "[": "]", "{": "}"}
-_CLOSERS = frozenset(PAIRS.values())
-_TERMINATORS = ".!?…"
-_ELLIPSIS = re.compile(r"\s*(?:\[\s*(?:\.\.\.|…)\s*\]|\(\s*(?:\.\.\.|…)\s*\)|\.\.\.|…)$")
-_MARKS = re.compile(r"[«»“”()\[\]{}]")
-_BROKEN_TAG = re.compile(r"<[/!]?[A-Za-z0-9]*[^<>\n]{0,200}$")
-_BROKEN_ESCAPE = re.compile(r"(?:&#?[A-Za-z0-9]{0,10}|\\u[0-9A-Fa-f]{0,3}|\\x[0-9A-Fa-f]?|%[0-9A-Fa-f]?)$")
-_SENTENCE_END = re.compile(r"[.!?…]\s+[^\s»”)]")
-_LABEL = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)* ?: \S")
-#: What list lines, signatures, tags and addresses start with.
-_OPENERS = frozenset(("#", "www", "—", "--", "•", "-", "–", "*"))
-_SPACE = " \t\r\n   "
-
-
-def open_marks(text: str) -> str:
-    """What the stack automaton still has open at the end of the text, outermost first; a stray closer is passed over."""
-    stack: list[str] = []
-    for m in _MARKS.finditer(text):
-        c = m.group()
-        if c in _CLOSERS:
-            if any(PAIRS[o] == c for o in stack):
-                while PAIRS[stack.pop()] != c:
-                    pass
-        else:
-            stack.append(c)
-    return "".join(stack)
-
-
-def ending(text: str) -> dict:
-    """What can be said of a text's ending from the text alone.
-
-    broken: it ends in half a character, escape or tag, or in a hyphen after a letter. terminated: its last line ends as a
-    sentence does. dots: it ends in an ellipsis. kind: the last line's first token, with figures, tags
-    and addresses each as one. open: what the automaton has open in the last line. dangling: it ends in a word or mark that cannot
-    end a line. label: the last line starts as a list line, a signature, a tag or "word: ..." does. several: the last line holds more than one
-    sentence.
+#: Elements of HTML that have no end tag, or may leave it out.
+_UNPAIRED = "area base br col embed hr img input link meta source track wbr p li dt dd option tr td th thead tbody tfoot colgroup".split()
+_MARK = '[«»“”()\\[\\]{}"\\n]|</?[A-Za-z][A-Za-z0-9]*(?:\\s[^<>]*)?>|<[/!]?(?:[A-Za-z][^<>]*)?$'
+_ELLIPSIS = "(?:\\[\\s*(?:\\.\\.\\.|…)\\s*\\]|\\(\\s*(?:\\.\\.\\.|…)\\s*\\)|\\.\\.\\.|…)$"
+_BROKEN = "\\uFFFD$|(?:&#?[A-Za-z0-9]*|\\\\u[0-9A-Fa-f]{0,3}|\\\\x[0-9A-Fa-f]?|%[0-9A-Fa-f]?)$|(?:[\\p{L}][-\\u00AD]| -)$"
+_ENDED = "[.!?][»”)\"' \\u00A0]*$"
+_SPACE = "[\\s\\u00A0]+"
+#: Levels of the tree of beginnings below the kind of the first character.
+LEVELS = ("one", "two", "three", "line")
+
+
+def open_marks(text: Column) -> Column:
+    """What the automaton has open at the end of a text, outermost first, with line ends between marks of different lines.
+
+    Brackets and quotes are paired by PAIRS, straight quotes with themselves, start tags with end tags of their name (elements without end
+    tags and empty ones are passed over); a tag without its end stays open as "<". A closer takes with it what was left open inside; a stray
+    closer is passed over.
     """
-    body = text.rstrip(_SPACE)
-    line = body[body.rfind("\n") + 1 :].strip(_SPACE)
-    first = line.split(None, 1)[0].lower() if line else ""
-    if first.startswith("#"):
-        kind = "#"
-    elif first.startswith(("www.", "http")):
-        kind = "www"
-    else:
-        kind = re.sub(r"\d+", "0", first)
-    dots = _ELLIPSIS.search(line)
-    core = line[: dots.start()] if dots else line
-    tag = _BROKEN_TAG.search(line) if "<" in line else None
-    broken = line.endswith("�") or bool(tag) or bool(_BROKEN_ESCAPE.search(line)) or (len(line) > 1 and line[-1] in "-­" and line[-2].isalpha()) or line.endswith(" -")
-    opened = open_marks(line)
-    inside = core.rstrip("»”)\"'" + _SPACE)
-    terminated = not dots and bool(line) and ((line[-1] in _TERMINATORS) or (line[-1] in "»”)\"" and (not opened) and (inside[-1:] in _TERMINATORS or line[0] in "«“(\"")))
-    last = re.split(r"[\s'’]+", core)[-1].lower() if core else ""
-    return {
-        "kind": kind,
-        "line": line.lower(),
-        "dots": bool(dots),
-        "broken": bool(broken),
-        "terminated": terminated,
-        "open": opened,
-        "dangling": last in OPEN_WORDS or core.endswith((",", ";", ":", "'", "’")),
-        "several": bool(_SENTENCE_END.search(core)),
-        "label": kind in _OPENERS or bool(_LABEL.match(line)),
-        "n_words": len(line.split()),
-    }
-
-
-_FIELDS = [("kind", pa.string()), ("line", pa.string()), ("dots", pa.bool_()), ("broken", pa.bool_()), ("terminated", pa.bool_()), ("open", pa.string()), ("dangling", pa.bool_()), ("label", pa.bool_()), ("several", pa.bool_()), ("n_words", pa.int32())]
-_SCHEMA = "doc_id bigint, name string, chars int, bytes int, h bigint, kind string, line string, dots boolean, broken boolean, terminated boolean, open string, dangling boolean, label boolean, several boolean, n_words int"
-
-
-def _endings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        out = [ending(t) for t in b.column("text").to_pylist()]
-        cols = [b.column(c) for c in ("doc_id", "name", "chars", "bytes", "h")] + [pa.array([o[n] for o in out], t) for n, t in _FIELDS]
-        yield pa.RecordBatch.from_arrays(cols, ["doc_id", "name", "chars", "bytes", "h", *(n for n, _ in _FIELDS)])
 
+    def push(stack: Column, mark: Column) -> Column:
+        return F.concat(stack, mark)
 
-def text_endings(documents: DataFrame) -> DataFrame:
-    """One row per document with text: its ending, size in characters and bytes, source, and a hash of the text.
+    def pop(stack: Column, opener: Column) -> Column:
+        at = F.instr(F.reverse(stack), F.reverse(opener))
+        return F.when(at == 0, stack).otherwise(F.substring(stack, F.lit(1), F.length(stack) - at - F.length(opener) + 1))
 
-    ``line`` becomes a hash: of the last line up to 8 words, and of the whole text where it is longer, so that long endings are all
-    different and no text is kept.
-    """
-    t = documents.select("doc_id", source_name(F.col("source")).alias("name"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("h"), "text")
-    return t.filter(F.trim(F.regexp_replace("text", "[\\s\\u00A0]+", " ")) != "").mapInArrow(_endings, _SCHEMA).withColumn("line", F.when(F.col("n_words") <= 8, F.xxhash64("line")).otherwise(F.col("h")))
+    openers, closers = "".join(PAIRS), "".join(PAIRS.values())
 
+    def step(stack: Column, mark: Column) -> Column:
+        name = F.lower(F.regexp_extract(mark, "^</?([A-Za-z][A-Za-z0-9]*)", 1))
+        symbol = F.when(name != "", F.concat(F.lit("<"), name, F.lit(">"))).otherwise(F.translate(mark, closers, openers))
+        passed = ((mark == "\n") & ((stack == "") | F.endswith(stack, F.lit("\n")))) | name.isin(*_UNPAIRED) | F.endswith(mark, F.lit("/>"))
+        closes = mark.isin(*PAIRS.values()) | F.startswith(mark, F.lit("</")) | ((mark == '"') & F.contains(stack, mark))
+        unended = F.startswith(mark, F.lit("<")) & ~F.endswith(mark, F.lit(">"))
+        return F.when(unended, push(stack, F.lit("<"))).when(passed, stack).when(closes, pop(stack, symbol)).otherwise(push(stack, symbol))
+
+    marks = F.regexp_extract_all(text, F.lit(f"({_MARK})"), F.lit(1))
+    return F.aggregate(marks, F.lit(""), step)
 
-def field_limits(endings: DataFrame, least: int = 5, share: float = 0.03, unended: float = 0.5) -> DataFrame:
-    """name, unit, size: sizes at which a source cuts its texts.
 
-    A size (in characters, or in bytes with up to 3 bytes less for half a character) that at least ``least`` texts and a ``share``
-    of the source's texts have, most of them unfinished (neither a terminator nor a closing line). Sizes far less frequent than the source's most frequent one are
-    echoes of it in the other unit and do not count.
+def _kind(c: Column) -> Column:
+    return F.when(c.rlike("\\p{Lu}"), "A").when(c.rlike("\\p{L}"), "a").when(c.rlike("\\p{N}"), "0").otherwise(c)
+
+
+def text_endings(documents: DataFrame) -> DataFrame:
+    """One row per document with text that is not blank: its ending, size in characters and bytes, source, and a hash of the text; no text is kept.
+
+    ending: '.' for a terminator (closing quotes and brackets may follow, or the whole line stands in such), '…' for an ellipsis, '' for
+    neither. broken: half a character, tag or escape at the end, or a hyphen after a letter. open: the automaton has something open that was opened in the last
+    line; before: in an earlier one. several: the last line holds more than one sentence. kind, one, two, three, line: its place in the tree
+    (hashes, figures as one). last: hash of its last word, or of the mark it ends in.
     """
-    one = endings.filter("name is not null").dropDuplicates(["name", "h"])
-    sized = one.select(
+    body = F.regexp_replace("text", f"{_SPACE}$", "")
+    d = documents.select("doc_id", source_name(F.col("source")).alias("name"), F.length("text").alias("chars"), F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("h"), body.alias("body"))
+    d = d.filter("body <> ''").withColumn("stack", open_marks(F.col("body")))
+    d = d.withColumn("line", F.regexp_replace(F.substring_index("body", "\n", -1), f"^{_SPACE}", "")).withColumn("inner", F.substring_index("stack", "\n", -1))
+    line, low = F.col("line"), F.regexp_replace(F.lower("line"), "\\p{N}+", "0")
+    words = F.split(low, _SPACE)
+    core = F.regexp_replace("line", f"\\s*{_ELLIPSIS}", "")
+    dots = line.rlike(_ELLIPSIS)
+    enclosed = (F.col("inner") == "") & line.rlike('^[«“(\\["].*[»”)\\]"]$')
+    ending = F.when(dots, "…").when(line.rlike(_ENDED) | enclosed, ".").otherwise("")
+    last = F.regexp_extract(F.lower(core), "([\\p{L}\\p{N}]+|[^\\s\\p{L}\\p{N}])$", 1)
+    ended_word = F.regexp_extract(F.lower("line"), "([\\p{L}\\p{N}]+)[^\\p{L}\\p{N}]*$", 1)
+    return d.select(
+        "doc_id",
         "name",
-        F.col("unfinished").cast("int").alias("u"),
-        F.inline(F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))),
+        "chars",
+        "bytes",
+        "h",
+        ending.alias("ending"),
+        (line.rlike(_BROKEN) | F.endswith("inner", F.lit("<"))).alias("broken"),
+        (F.col("inner") != "").alias("open"),
+        F.contains("stack", F.lit("\n")).alias("before"),
+        core.rlike("[.!?…]\\s+[^\\s»”)]").alias("several"),
+        _kind(F.substring("line", 1, 1)).alias("kind"),
+        *(F.xxhash64(F.slice(words, 1, k)).alias(n) for k, n in enumerate(LEVELS[:3], 1)),
+        F.xxhash64(low).alias("line"),
+        F.xxhash64(F.when(ending == ".", ended_word).otherwise(last)).alias("last"),
     )
-    counts = sized.groupBy("name", "unit", "size").agg(F.count("*").alias("n"), F.sum("u").alias("u"))
-    total = one.groupBy("name").agg(F.count("*").alias("all"))
-    most = counts.groupBy("name").agg(F.max("n").alias("most"))
-    found = counts.filter(F.col("n") >= least).join(total, "name").join(most, "name")
-    found = found.filter((F.col("n") >= share * F.col("all")) & (F.col("u") >= unended * F.col("n")) & (F.col("n") >= 0.5 * F.col("most")))
-    return found.select("name", "unit", "size")
 
 
-def closing_kinds(endings: DataFrame, least: int = 5, unended: float = 0.8) -> tuple[DataFrame, DataFrame]:
-    """Endings that are whole without a terminator, learned from all documents: kinds and whole lines.
+def field_limits(texts: DataFrame) -> DataFrame:
+    """name, unit, size: sizes at which a source cuts its texts.
 
-    A kind of last line closes a text if most of its lines (of ``least`` distinct texts) have no terminator and hold one sentence: signatures,
-    sources, tags, list lines. Prose kinds are cut now and then but end in a terminator most of the time. A line of up to 8 words closes a text
-    if ``least`` distinct texts end in it.
+    A size (in characters, or in bytes with up to 3 bytes less for half a character) that a share of ``LIMIT_SHARE`` of the source's other texts have
+    as well (smoothed, so that few texts give no limit), most of them without a terminator. Sizes far less frequent than the source's most frequent one are
+    echoes of it in the other unit.
     """
-    one = endings.dropDuplicates(["h"])
-    kinds = one.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.when(~F.col("terminated") & ~F.col("several") & ~F.col("dots") & ~F.col("broken"), 1).otherwise(0)).alias("u"))
-    kinds = kinds.filter((F.col("n") >= least) & (F.col("u") >= unended * F.col("n"))).select("kind", F.lit(True).alias("closing_kind"))
-    lines = one.filter(~F.col("terminated") & (F.col("n_words") <= 8)).groupBy("line").agg(F.count("*").alias("n"))
-    return kinds, lines.filter(F.col("n") >= least).select("line", F.lit(True).alias("closing_line"))
+    one = texts.filter("name is not null")
+    sizes = F.array(F.struct(F.lit("chars").alias("unit"), F.col("chars").alias("size")), F.struct(F.lit("bytes").alias("unit"), F.col("bytes").alias("size")))
+    counts = one.select("name", (F.col("ending") != ".").cast("int").alias("u"), F.inline(sizes)).groupBy("name", "unit", "size").agg(F.count("*").alias("n"), F.sum("u").alias("u"))
+    total = counts.groupBy("name").agg((F.sum("n") / 2).alias("all"), F.max("n").alias("most"))
+    x = counts.filter("n > 1").join(total, "name")
+    share = (F.col("n") - 1) / (F.col("all") - 1 + LIMIT_TEXTS)
+    return x.filter((share >= LIMIT_SHARE) & (F.col("u") >= 0.5 * F.col("n")) & (F.col("n") >= 0.5 * F.col("most"))).select("name", "unit", "size")
 
 
-def cut_documents(documents: DataFrame, least: int = 5) -> DataFrame:
+def _at_limit(e: DataFrame, limits: DataFrame) -> DataFrame:
+    """Adds ``limit``: the text has the size at which its source cuts."""
+    by = lambda u: limits.filter(F.col("unit") == u)
+    e = e.join(by("chars").select("name", F.col("size").alias("chars"), F.lit(True).alias("_c")), ["name", "chars"], "left")
+    near = by("bytes").select("name", F.explode(F.sequence(F.col("size") - 3, F.col("size"))).alias("bytes"), F.lit(True).alias("_b")).distinct()
+    e = e.join(near, ["name", "bytes"], "left")
+    return e.withColumn("limit", F.coalesce("_c", "_b", F.lit(False))).drop("_c", "_b")
+
+
+def _counts(texts: DataFrame, keys: list[str]) -> DataFrame:
+    return texts.groupBy(*keys).agg(F.count("*").alias("n"), F.count(F.when(F.col("ending") == "", 1)).alias("u"), F.count(F.when(F.col("ending") == "…", 1)).alias("d"))
+
+
+def usual(texts: DataFrame) -> DataFrame:
+    """h, usual: for each text without a terminator, how usual its ending is for a last line like its own, from 0 to 1.
+
+    Shares are those of the other texts, each level smoothed by the one above. First character and first word are counted over all texts, then in the
+    text's own source, there without texts at its limit, so that a source that cuts much does not make its cuts usual.
+    """
+    open_ = texts.filter("ending <> '.'").select("h", "name", "ending", "several", "kind", *LEVELS, "limit")
+    levels = [("r", ["several"]), ("k", ["several", "kind"])]
+    for n, keys in levels:
+        c = _counts(texts, keys).select(*keys, F.struct("n", "u", "d").alias(n))
+        open_ = open_.join(c, keys, "left")
+    nodes = lambda df: F.array(*(F.struct(F.lit(i).alias("level"), F.xxhash64("several", n).alias("node")) for i, n in enumerate(LEVELS)))
+    flat = texts.select("ending", F.inline(nodes(texts)))
+    c = _counts(flat, ["level", "node"]).filter("n > 1")
+    deep = open_.select("h", F.inline(nodes(open_))).join(c, ["level", "node"])
+    deep = deep.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("level", F.struct("n", "u", "d")))).alias("deep"))
+    open_ = open_.join(deep, "h", "left")
+    free = texts.filter("not limit and name is not null")
+    for n, keys in (("sk", ["name", "several", "kind"]), ("so", ["name", "several", "one"])):
+        open_ = open_.join(_counts(free, keys).select(*keys, F.struct("n", "u", "d").alias(n)), keys, "left")
+
+    def blend(above: Column, node: Column, own: Column) -> Column:
+        same = F.when(F.col("ending") == "", node["u"]).otherwise(node["d"])
+        return (F.coalesce(same - own, F.lit(0)) + PRIOR_TEXTS * above) / (F.coalesce(node["n"] - own, F.lit(0)) + PRIOR_TEXTS)
+
+    one = F.lit(1)
+    free_own = F.when(F.col("limit"), 0).otherwise(1)
+    deeper = [(F.try_element_at("deep", F.lit(i)), one) for i in range(len(LEVELS))]
+    path = [(F.col("r"), one), (F.col("k"), one), (F.col("sk"), free_own), deeper[0], (F.col("so"), free_own), *deeper[1:]]
+    p = reduce(lambda above, x: blend(above, *x), path, F.lit(0.0))
+    return open_.select("h", p.alias("usual"))
+
+
+def cut_documents(documents: DataFrame) -> DataFrame:
     """doc_id, name, reason, cut for every document with text that is not blank.
 
-    A text is cut if it ends in half a character, escape or tag, or if it has no terminator (or an ellipsis in its place) and does not
-    end in a line that closes texts elsewhere. A closing line is cut as well if it ends in a word that nothing ends with or leaves a
-    bracket or quote open. The size at which a source cuts is the reason given where it is met, but decides nothing: a whole text may
-    have any length. So equal texts have one verdict, whatever their source. Null and blank texts give no row.
+    A text is cut if it ends in half a character, escape or tag (``broken``), if the automaton has something open that was opened in its last line, be it before a
+    terminator (``open``), or if it has no terminator where such lines have one: reason ``limit`` at its source's size limit, ``ellipsis`` or
+    ``unfinished``. A line that usually ends without a terminator is cut as well if its last word or mark is one that texts break off after but do not
+    end with. Equal texts have one verdict, whatever their source: the first in the order of names decides. Null and blank texts give no row.
     """
     e = materialize(text_endings(documents), "p9-endings")
-    kinds, lines = closing_kinds(e, least)
-    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
-    closes = (yes("closing_line") | ((yes("closing_kind") | F.col("label")) & ~F.col("dots"))) & ~F.col("several")
-    e = e.join(kinds, "kind", "left").join(lines, "line", "left")
-    e = e.select("doc_id", "name", "h", "chars", "bytes", "dots", "broken", "terminated", "dangling", (F.col("open") != "").alias("open"), yes("closing_line").alias("closing_line"), closes.alias("closes"))
-    e = materialize(e.withColumn("unfinished", ~F.col("terminated") & ~F.col("closes")), "p9-closing")
-    limits = field_limits(e, least)
-    by = lambda u: limits.filter(F.col("unit") == u)
-    e = e.join(by("chars").select("name", F.col("size").alias("chars"), F.lit(True).alias("at_chars")), ["name", "chars"], "left")
-    near = by("bytes").select("name", F.explode(F.sequence(F.col("size") - 3, F.col("size"))).alias("bytes"), F.lit(True).alias("at_bytes")).distinct()
-    e = e.join(near, ["name", "bytes"], "left")
-    limit = yes("at_chars") | yes("at_bytes")
+    texts = e.groupBy("h").agg(F.min_by(F.struct(*(c for c in e.columns if c not in ("doc_id", "h"))), F.struct(F.col("name").isNull(), "name", "doc_id")).alias("x")).select("h", "x.*")
+    texts = materialize(texts, "p9-texts")
+    texts = materialize(_at_limit(texts, materialize(field_limits(texts), "p9-limits")), "p9-sized")
+    texts = materialize(texts.join(usual(texts), "h", "left"), "p9-usual")
+    prose = F.col("usual") < 0.5
+    words = texts.groupBy("last").agg(F.count(F.when(F.col("ending") == ".", 1)).alias("e"), F.count(F.when(prose & (F.col("ending") == ""), 1)).alias("u"))
+    ends = (F.col("e") + PRIOR_TEXTS * UNSEEN_ENDS) / (F.col("e") + F.col("u") + PRIOR_TEXTS)
+    dangling = words.filter(ends < 0.5).select("last", F.lit(True).alias("dangling"))
+    texts = texts.join(dangling, "last", "left")
     reason = (
         F.when(F.col("broken"), "broken")
-        .when(F.col("terminated"), None)
-        .when(F.col("unfinished"), F.when(F.col("dots"), "ellipsis").when(limit, "limit").otherwise("unfinished"))
-        .when(F.col("dangling") & ~F.col("closing_line"), "unfinished")
-        .when(F.col("open") & ~F.col("closing_line"), "open")
+        .when(F.col("open"), "open")
+        .when(F.col("ending") == ".", None)
+        .when(prose, F.when(F.col("ending") == "…", "ellipsis").when(F.col("limit"), "limit").otherwise("unfinished"))
+        .when((F.col("ending") == "") & F.col("dangling"), "unfinished")
     )
-    out = e.select("doc_id", "name", reason.alias("reason"))
-    return out.withColumn("cut", F.col("reason").isNotNull())
+    out = e.select("doc_id", "name", "h").join(texts.select("h", reason.alias("reason")), "h")
+    return out.select("doc_id", "name", "reason", F.col("reason").isNotNull().alias("cut"))
 
 
 def cut_report(verdicts: DataFrame) -> DataFrame:

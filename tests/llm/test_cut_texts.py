@@ -2,42 +2,62 @@
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.llm.cut_texts import cut_documents, cut_report, ending, open_marks
-
-
-@pytest.mark.parametrize(
-    ("text", "open_"),
-    [("a (b) [c]", ""), ("a (b [c", "(["), ("« a », b", ""), ("« a « b »", "«"), ("a) b", ""), ("(a] b", "("), ("", "")],
-)
-def test_automaton(text, open_):
-    assert open_marks(text) == open_
-
-
-@pytest.mark.parametrize(
-    ("text", "field"),
-    [
-        ("Une phrase.", "terminated"),
-        ("Il dit « oui. »", "terminated"),
-        ("(voir la page)", "terminated"),
-        ("Une phra", None),
-        ("Une voiture�", "broken"),
-        ("Un orage&eac", "broken"),
-        ("Un orage <", "broken"),
-        ("Un <a href='x", "broken"),
-        ("Un regrou-", "broken"),
-        ("La suite de l'", "dangling"),
-        ("Le chat dans la", "dangling"),
-        ("Le chat…", "dots"),
-        ("Le chat [...]", "dots"),
-        ("Une. Deux", "several"),
-    ],
-)
-def test_endings(text, field):
-    e = ending(text)
-    assert [k for k in ("terminated", "broken", "dots", "dangling", "several") if e[k] is True] == ([field] if field else [])
+from palimpsest.llm.cut_texts import cut_documents, cut_report, open_marks, text_endings
+
+MARKS = {
+    "a (b) [c]": "",
+    "a (b [c": "([",
+    "« a », b": "",
+    "« a « b »": "«",
+    "a) b": "",
+    "(a] b": "(",
+    "": "",
+    'il dit "oui" puis "non': '"',
+    "<b>gras</b> <i>pen": "<i>",
+    "<ul><li>un<li>deux</ul> <br> <img src='x'/>": "",
+    "un <a href='x": "<",
+    "deux < trois": "",
+    "« dit\nil (bas": "«\n(",
+    "« dit\nil » (bas)\nfin": "",
+}
+
+
+def test_automaton(spark):
+    df = spark.createDataFrame([(t,) for t in MARKS], "t string").select("t", open_marks(F.col("t")).alias("open"))
+    assert {r.t: r.open for r in df.collect()} == MARKS
+
+
+ENDINGS = {
+    "Une phrase.": ("ending", "."),
+    "Il dit « oui. »": ("ending", "."),
+    "(voir la page)": ("ending", "."),
+    "Une phra": ("ending", ""),
+    "Le chat…": ("ending", "…"),
+    "Le chat [...]": ("ending", "…"),
+    "Une voiture\ufffd": ("broken", True),
+    "Un orage&eac": ("broken", True),
+    "Un orage <": ("broken", True),
+    "Un <a href='x": ("broken", True),
+    "Un <a title='" + "long " * 100: ("broken", True),
+    "Un regrou-": ("broken", True),
+    "Il a dit (selon la presse.": ("open", True),
+    "« Tout commence\nUne ligne": ("before", True),
+    "Une. Deux": ("several", True),
+}
+
+
+def test_endings(spark):
+    rows = [(i, t, "s") for i, t in enumerate(ENDINGS)]
+    out = {r.doc_id: r for r in text_endings(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert {t: (f, out[i][f]) for i, (t, (f, _)) in enumerate(ENDINGS.items())} == ENDINGS
+
+
+def test_open_before_a_terminator_is_cut(spark):
+    rows = [(i, f"Une phrase entière, la {i}e.", "s") for i in range(50)] + [(100, "Il a dit (selon la presse.", "s"), (101, "« Non.\nIl est parti.", "s")]
+    out = {r.doc_id: r.reason for r in cut_documents(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect()}
+    assert out.pop(100) == "open" and set(out.values()) == {None}
 
 
 def corpus():
