@@ -139,32 +139,33 @@ def usual(texts: DataFrame) -> DataFrame:
     """h, usual: for each text without a terminator, how usual its ending is for a last line like its own, from 0 to 1.
 
     Shares are those of the other texts, each level smoothed by the one above. First character and first word are counted over all texts, then in the
-    text's own source, there without texts at its limit, so that a source that cuts much does not make its cuts usual.
+    text's own source. Texts at their source's limit count nowhere, so that a source that cuts much does not make its cuts usual.
     """
     open_ = texts.filter("ending <> '.'").select("h", "name", "ending", "several", "kind", *LEVELS, "limit")
     levels = [("r", ["several"]), ("k", ["several", "kind"])]
+    free = texts.filter("not limit")
     for n, keys in levels:
-        c = _counts(texts, keys).select(*keys, F.struct("n", "u", "d").alias(n))
+        c = _counts(free, keys).select(*keys, F.struct("n", "u", "d").alias(n))
         open_ = open_.join(c, keys, "left")
     nodes = lambda df: F.array(*(F.struct(F.lit(i).alias("level"), F.xxhash64("several", n).alias("node")) for i, n in enumerate(LEVELS)))
-    flat = texts.select("ending", F.inline(nodes(texts)))
-    c = _counts(flat, ["level", "node"]).filter("n > 1")
+    flat = free.select("ending", F.inline(nodes(free)))
+    c = _counts(flat, ["level", "node"])
     deep = open_.select("h", F.inline(nodes(open_))).join(c, ["level", "node"])
     deep = deep.groupBy("h").agg(F.map_from_entries(F.collect_list(F.struct("level", F.struct("n", "u", "d")))).alias("deep"))
     open_ = open_.join(deep, "h", "left")
-    free = texts.filter("not limit and name is not null")
+    free = free.filter("name is not null")
     for n, keys in (("sk", ["name", "several", "kind"]), ("so", ["name", "several", "one"])):
         open_ = open_.join(_counts(free, keys).select(*keys, F.struct("n", "u", "d").alias(n)), keys, "left")
 
-    def blend(above: Column, node: Column, own: Column) -> Column:
+    own = F.when(F.col("limit"), 0).otherwise(1)
+
+    def blend(above: Column, node: Column) -> Column:
         same = F.when(F.col("ending") == "", node["u"]).otherwise(node["d"])
         return (F.coalesce(same - own, F.lit(0)) + PRIOR_TEXTS * above) / (F.coalesce(node["n"] - own, F.lit(0)) + PRIOR_TEXTS)
 
-    one = F.lit(1)
-    free_own = F.when(F.col("limit"), 0).otherwise(1)
-    deeper = [(F.try_element_at("deep", F.lit(i)), one) for i in range(len(LEVELS))]
-    path = [(F.col("r"), one), (F.col("k"), one), (F.col("sk"), free_own), deeper[0], (F.col("so"), free_own), *deeper[1:]]
-    p = reduce(lambda above, x: blend(above, *x), path, F.lit(0.0))
+    deeper = [F.try_element_at("deep", F.lit(i)) for i in range(len(LEVELS))]
+    path = [F.col("r"), F.col("k"), F.col("sk"), deeper[0], F.col("so"), *deeper[1:]]
+    p = reduce(blend, path, F.lit(0.0))
     return open_.select("h", p.alias("usual"))
 
 
