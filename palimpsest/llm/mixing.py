@@ -13,19 +13,12 @@ from pyspark.sql.window import Window
 from palimpsest.functions.ids import source_name
 from palimpsest.operators.lineage import materialize
 
-#: A public byte-level BPE vocabulary; the folder is a parameter.
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: Fixed value: how byte-level BPE vocabularies of this family cut a text into pieces before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
-def _pattern() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.PATTERN
-
-
-def token_counter(path: str = TOKENIZER, pattern: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def token_counter(path: str, pattern: str = PATTERN) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """Adds ``tokens`` to batches with a column ``text`` and drops the text; null and '' have 0 tokens."""
-    pattern = pattern or _pattern()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
@@ -53,25 +46,38 @@ def uniform(key: Column, seed: int) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
-def counted(documents: DataFrame, tokenizer: str = TOKENIZER, seed: int = 42) -> DataFrame:
-    """doc_id, name, tokens, p of every document; p in [0, 1) grows with the exponential key -ln(u) / weight."""
+def exponential_key(key: Column, weight: Column, seed: int) -> Column:
+    """The key -ln(u) / weight: the smaller it is, the earlier a document is drawn. All of its digits count, however small the weight."""
+    return -F.log(uniform(key, seed)) / weight
+
+
+def key_bucket(key: Column, steps: int = 1024) -> Column:
+    """Buckets of equal width on a logarithmic scale, ``steps`` to a doubling of the key.
+
+    Whatever the weights are, an exponential key falls into one bucket with a probability of at most ln(2) / (e * steps), 0.025 % for 1024 steps.
+    """
+    return F.floor(F.log2(key) * steps).cast("int")
+
+
+def counted(documents: DataFrame, tokenizer: str, seed: int = 42, pattern: str = PATTERN) -> DataFrame:
+    """doc_id, name, tokens, key of every document."""
     slim = documents.select("doc_id", source_name(F.col("source")).alias("name"), quality_weight(F.col("text")).alias("w"), "text")
-    tok = slim.mapInArrow(token_counter(tokenizer), "doc_id bigint, name string, w double, tokens bigint")
-    return tok.select("doc_id", "name", "tokens", (-F.expm1(F.log(uniform(F.col("doc_id"), seed)) / F.col("w"))).alias("p"))
+    tok = slim.mapInArrow(token_counter(tokenizer, pattern), "doc_id bigint, name string, w double, tokens bigint")
+    return tok.select("doc_id", "name", "tokens", exponential_key(F.col("doc_id"), F.col("w"), seed).alias("key"))
 
 
-def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, seed: int = 42, buckets: int = 4096) -> tuple[DataFrame, DataFrame]:
+def mix(documents: DataFrame, targets: DataFrame, tokenizer: str, seed: int = 42, steps: int = 1024) -> tuple[DataFrame, DataFrame]:
     """Draws documents so that each source holds its target share of the tokens of all documents used once.
 
     Gives the plan per target (source, name, budget, available, epochs, rest, ...) and the drawn documents (doc_id,
     name, tokens, times). A source is used in as many complete epochs as fit its budget, up to max_repeat; what is then
     missing is filled, if another repeat is allowed, with documents in the order of their keys as long as their
-    running sum stays within the budget. The running sum has two levels: sums over ``buckets`` ranges of the key per
-    source, then a sort inside the one bucket where the budget ends; no source is ever sorted in one task. Sources are compared
+    running sum stays within the budget. The running sum has two levels: sums over logarithmic buckets of the key per
+    source (see ``key_bucket``), then a sort inside the one bucket where the budget ends; no source is ever sorted in one task. Sources are compared
     trimmed, in lower case, - as _. Documents of a null source or of no target count in the total and are not drawn;
     null text has 0 tokens; a target without documents stays with 0 tokens; repeated targets keep the first in order.
     """
-    docs = materialize(counted(documents, tokenizer, seed), "p8-counted").withColumn("bucket", (F.col("p") * buckets).cast("int"))
+    docs = materialize(counted(documents, tokenizer, seed), "p8-counted").withColumn("bucket", key_bucket(F.col("key"), steps))
     hist = materialize(docs.groupBy("name", "bucket").agg(F.sum("tokens").alias("t"), F.count("*").alias("n")), "p8-buckets")
     total = hist.agg(F.coalesce(F.sum("t"), F.lit(0))).scalar()
     have = hist.groupBy("name").agg(F.sum("t").alias("available"), F.sum("n").alias("documents"))
@@ -107,7 +113,7 @@ def mix(documents: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, se
     plan = goal.select("name", "epochs", "rest").join(edges, "name", "left")
     named = docs.join(plan, "name")
     whole = named.filter("edge is null or bucket <> edge.bucket").withColumn("extra", F.when(F.col("edge").isNull() | (F.col("bucket") < F.col("edge.bucket")), (F.col("rest") > 0).cast("int")).otherwise(0))
-    inside = Window.partitionBy("name").orderBy("p", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy("name").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     split = named.filter("bucket = edge.bucket").withColumn("extra", (F.col("edge.before") + F.sum("tokens").over(inside) <= F.col("rest")).cast("int"))
     drawn = whole.unionByName(split).select("doc_id", "name", "tokens", (F.col("epochs") + F.col("extra")).alias("times")).filter("times > 0")
     return goal, drawn

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,10 @@ from palimpsest.llm import cut_texts, leaks, main_content, mixing, near_duplicat
 from palimpsest.sources.tables import table
 
 
+#: A public byte-level BPE vocabulary; another is named by the environment.
+TOKENIZER = os.environ.get("PALIMPSEST_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
+
 def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return near_duplicates.similar_pages(table(spark, root, "document_snapshot"))
 
@@ -63,11 +68,11 @@ def p7_clean(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, root: str) -> DataFrame:
-    return mixing.mix_report(*mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_target")))
+    return mixing.mix_report(*mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_target"), TOKENIZER))
 
 
 def p8_mix(spark: SparkSession, root: str) -> DataFrame:
-    return mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_target"))[1]
+    return mixing.mix(table(spark, root, "documents"), table(spark, root, "mix_target"), TOKENIZER)[1]
 
 
 def p8_found(spark: SparkSession, root: str) -> DataFrame:

@@ -2,57 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-#: Rows that a task holds in heaps before it passes them on; what is passed on early is merged like the rest.
-HELD = 400_000
-
-
-def _shrink(rows: pd.DataFrame, group: list[str], item: str, score: str, n: int) -> pd.DataFrame:
-    """Each group's heap: its n best distinct items, best first."""
-    best = rows.sort_values([score, item], ascending=[False, True], kind="stable")
-    best = best[~best.duplicated([*group, item])]
-    return best[best.groupby(group, sort=False).cumcount() < n]
-
-
-def _heaps(group: list[str], item: str, score: str, n: int, held: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, pending, waiting, schema = None, [], 0, None
-        for b in batches:
-            schema = b.schema
-            pending.append(b.to_pandas())
-            waiting += b.num_rows
-            if waiting >= held // 2:
-                state = _shrink(pd.concat([state, *pending] if state is not None else pending), group, item, score, n)
-                pending, waiting = [], 0
-                if len(state) > held:
-                    yield pa.RecordBatch.from_pandas(state, schema=schema, preserve_index=False)
-                    state = None
-        if pending:
-            state = _shrink(pd.concat([state, *pending] if state is not None else pending), group, item, score, n)
-        if state is not None and len(state):
-            yield pa.RecordBatch.from_pandas(state, schema=schema, preserve_index=False)
-
-    return run
+from pyspark.sql.internal import InternalFunction
 
 
-def top_items(df: DataFrame, group: list[str], item: str, score: str, n: int = 10, held: int = HELD) -> DataFrame:
+def top_items(df: DataFrame, group: list[str], item: str, score: str, n: int = 10) -> DataFrame:
     """group columns, item, score, pos: the n best distinct items of each group, score descending, smaller item first.
 
-    An item counts once, with its highest score. Rows with a null in a group column, the item or the score and scores
-    that are NaN fall out. A heap of distinct items is mergeable: an item among the global n best is among the n
-    best wherever its best row is. So a group of any size sends at most n rows per task (and per ``held``
-    rows of heaps), and the merge after the shuffle sorts these only. Groups smaller than n give all they have.
+    ``item`` is a whole number. It counts once, with its highest score: maxima of (group, item) are combined before they are shuffled, so a group of a third of all
+    rows is spread over its items. Each task then keeps one bounded heap of n entries per group (Spark's ``collect_top_k``: an aggregate whose state is a priority
+    queue), ordered by score, then by the complement of the item, which grows as the item falls; heaps merge after the shuffle, and a task sends at
+    most n entries per group. Rows with a null in a group column, the item or the score and scores that are NaN fall out. Groups smaller than n give all they have;
+    an empty table gives no rows.
     """
     cols = [*group, item, score]
     clean = df.select(*cols).dropna(subset=cols).filter(~F.isnan(score))
-    heaps = clean.mapInArrow(_heaps(group, item, score, n, held), clean.schema)
-    merged = heaps.repartition(*group).groupBy(*group, item).agg(F.max(score).alias(score))
-    w = Window.partitionBy(*group).orderBy(F.col(score).desc(), F.col(item).asc())
-    return merged.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= n)
+    best = clean.groupBy(*group, item).agg(F.max(score).alias(score))
+    entry = F.struct(F.col(score).alias("_s"), F.bitwise_not(F.col(item)).alias("_i"))
+    heaps = best.groupBy(*group).agg(InternalFunction.collect_top_k(entry, n, False).alias("_heap"))
+    flat = heaps.select(*group, F.posexplode("_heap").alias("_p", "_e"))
+    return flat.select(*group, F.bitwise_not(F.col("_e._i")).alias(item), F.col("_e._s").alias(score), (F.col("_p") + 1).alias("pos"))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest.llm import leaks, mixing
+from palimpsest.llm.queries import TOKENIZER
 from palimpsest.llm.top_items import top_items
 
 
@@ -21,8 +22,9 @@ def test_top_items_against_brute_force(spark):
             best[g][i] = max(best[g].get(i, s), s)
     want = {(g, i, s, p) for g, m in best.items() for p, (i, s) in enumerate(sorted(m.items(), key=lambda x: (-x[1], x[0]))[:5], 1)}
     df = spark.createDataFrame(rows, "g string, item bigint, score double").withColumn("pos", F.lit("clash")).repartition(5)
-    for held in (400_000, 20):
-        assert {tuple(r) for r in top_items(df, ["g"], "item", "score", 5, held).select("g", "item", "score", "pos").collect()} == want
+    top = top_items(df, ["g"], "item", "score", 5)
+    assert {tuple(r) for r in top.select("g", "item", "score", "pos").collect()} == want
+    assert "partial_collect_top_k" in top._jdf.queryExecution().executedPlan().toString()
     assert top_items(df.limit(0), ["g"], "item", "score").count() == 0
 
 
@@ -79,7 +81,7 @@ def test_leak_positions_and_empty(spark):
     assert leaks.find_leaks(df.limit(0), it).count() == 0 and leaks.find_leaks(df, it.limit(0)).count() == 0
 
 
-pytestmark_tokens = pytest.mark.skipif(not os.path.exists(mixing.TOKENIZER), reason="no tokenizer")
+pytestmark_tokens = pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer")
 
 
 def corpus(spark, sizes):
@@ -93,8 +95,8 @@ def test_mix_keeps_its_rules(spark):
     docs = corpus(spark, [("A", 300), (" b ", 40), ("c-d", 5), ("E", 60)])
     targets = spark.createDataFrame([("a", 0.2, 1), ("b", 0.3, 4), ("c_d", 0.3, 2), ("e", 0.0, 3), ("gone", 0.2, 5), ("a", 0.9, 9)], "source string, target_share double, max_repeat int").withColumn("available", F.lit("clash"))
     targets = targets.filter("not (source = 'a' and max_repeat = 9)")
-    for buckets in (4096, 3):
-        goal, drawn = mixing.mix(docs, targets, buckets=buckets)
+    for steps in (1024, 1):
+        goal, drawn = mixing.mix(docs, targets, TOKENIZER, steps=steps)
         rows = drawn.collect()
         assert len(rows) == len({r.doc_id for r in rows})
         by = defaultdict(list)
@@ -119,21 +121,28 @@ def test_mix_keeps_its_rules(spark):
 def test_mix_is_stable_and_weighted(spark):
     docs = corpus(spark, [("a", 400), ("b", 400)])
     targets = spark.createDataFrame([("a", 0.2, 1), ("b", 0.8, 3)], "source string, target_share double, max_repeat int")
-    one, two = ({(r.doc_id, r.times) for r in mixing.mix(d, targets)[1].collect()} for d in (docs, docs.repartition(7)))
+    one, two = ({(r.doc_id, r.times) for r in mixing.mix(d, targets, TOKENIZER)[1].collect()} for d in (docs, docs.repartition(7)))
     assert one == two
-    p = mixing.counted(docs, seed=1).filter("tokens > 0").select("doc_id", "p")
-    assert 0.0 <= p.agg(F.min("p")).first()[0] and p.agg(F.max("p")).first()[0] < 1.0
     w = spark.range(20_000).withColumn("w", F.when(F.col("id") % 2 == 0, 1.0).otherwise(0.25))
     key = w.select("id", (-F.log(mixing.uniform(F.col("id"), 5)) / F.col("w")).alias("k")).orderBy("k").limit(1000)
     share = key.filter("id % 2 = 0").count() / 1000
     assert 0.74 < share < 0.86
 
 
+def test_keys_of_small_weights_keep_their_order(spark):
+    k = spark.range(50_000).select(mixing.exponential_key(F.col("id"), F.lit(0.05), 3).alias("key"))
+    k = k.withColumn("bucket", mixing.key_bucket(F.col("key")))
+    assert k.select("key").distinct().count() == 50_000
+    assert k.groupBy("bucket").count().agg(F.max("count")).first()[0] < 0.001 * 50_000
+    by = k.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("z")).orderBy("bucket").collect()
+    assert all(x.z < y.a for x, y in zip(by, by[1:]))
+
+
 @pytestmark_tokens
 def test_mix_of_nothing(spark):
     docs = corpus(spark, []).limit(0)
     targets = spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeat int")
-    goal, drawn = mixing.mix(docs, targets)
+    goal, drawn = mixing.mix(docs, targets, TOKENIZER)
     assert drawn.count() == 0 and [r.short for r in mixing.mix_report(goal, drawn).collect()] == [False]
-    goal, drawn = mixing.mix(corpus(spark, [("a", 3)]), targets.limit(0))
+    goal, drawn = mixing.mix(corpus(spark, [("a", 3)]), targets.limit(0), TOKENIZER)
     assert drawn.count() == 0 and mixing.mix_report(goal, drawn).count() == 0
