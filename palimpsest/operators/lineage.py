@@ -2,19 +2,34 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: The folder of a local session without a setting, by application.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir if the cluster names one; a temporary folder of this machine only where it is unset, as in tests."""
+    """``spark.checkpoint.dir``, which a cluster must name: without it a cluster's session raises, as executors share no folder of one machine.
+
+    Only a session in local mode, as in tests, gets a temporary folder, which is deleted when the process ends.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='palimpsest-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    if context.applicationId not in _LOCAL:
+        path = tempfile.mkdtemp(prefix="palimpsest-")
+        atexit.register(shutil.rmtree, path, ignore_errors=True)
+        _LOCAL[context.applicationId] = f"file://{path}"
+    return _LOCAL[context.applicationId]
 
 
 #: Folders written since the last ``drop_materialized``.

@@ -48,3 +48,28 @@ def json_strings(column: str) -> F.Column:
     """
     read = F.from_json(F.col(column), T.ArrayType(T.StringType()))
     return F.coalesce(F.when(F.try_parse_json(F.col(column)).isNotNull(), read), F.array().cast("array<string>"))
+
+
+def python_strings(column: str) -> F.Column:
+    """A text column that holds a printed list of strings (['a', "b"]); null gives null, text that is no list an empty array.
+
+    Quotes are single or double; a backslash keeps the next character.
+    """
+    quoted = "'((?:[^'\\\\]|\\\\.)*)'|\"((?:[^\"\\\\]|\\\\.)*)\""
+    items = F.regexp_extract_all(F.col(column), F.lit(f"({quoted})"), F.lit(1))
+    plain = F.transform(items, lambda x: F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), "\\\\(.)", "$1"))
+    return F.when(F.col(column).isNull(), None).when(F.col(column).rlike("^\\s*\\[.*\\]\\s*$"), plain).otherwise(F.array().cast("array<string>"))
+
+
+def python_numbers(column: str) -> F.Column:
+    """A text column that holds a printed list of numbers ([1.0, 2e-3]) as array<double>; null and text that is no list give null."""
+    return F.from_json(F.col(column), T.ArrayType(T.DoubleType()))
+
+
+def reachable(spark: SparkSession, url: str, name: str, **options: str) -> bool:
+    """Whether a database answers: one row is asked for, no more."""
+    try:
+        spark.read.format("jdbc").options(url=url, query=f"select * from {name} limit 1", **options).load().take(1)
+    except Exception:  # whatever the driver raises, the answer is no
+        return False
+    return True

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +42,20 @@ def read_expansions(spark: SparkSession, path: str) -> DataFrame:
     return x.withColumn("period", F.regexp_extract(F.input_file_name(), "([^/]+?)(?:\\.[^/]*)?$", 1))
 
 
+def read_wide_expansions(spark: SparkSession, path: str) -> DataFrame:
+    """query, period, term, score of one wide CSV file with columns z_<n>_term and z_<n>_tf_idf, found by their names; null terms fall out.
+
+    A file without a pair of such columns gives no rows.
+    """
+    x = spark.read.csv(path, header=True)
+    terms = {m[1]: c for c in x.columns if (m := re.fullmatch(r"z_(.+)_term", c))}
+    pairs = [(n, c, f"z_{n}_tf_idf") for n, c in terms.items() if f"z_{n}_tf_idf" in x.columns]
+    if not pairs:
+        return spark.createDataFrame([], "query string, period string, term string, score double")
+    rows = F.array(*(F.struct(F.lit(n).alias("period"), F.col(f"`{t}`").alias("term"), F.col(f"`{s}`").try_cast("double").alias("score")) for n, t, s in pairs))
+    return x.select("query", F.inline(rows)).filter("term is not null")
+
+
 def write_run(run: DataFrame, path: str, sep: str = " ", prefix: str = "", iteration: str = "Q0", one_file: bool = False) -> None:
     """Writes qid iter docno rank score name, gzip, ordered by qid and rank. One file only if asked for: a sort across the cluster otherwise."""
     docno = F.concat(F.lit(prefix), F.col("docid").cast("string"))
@@ -56,3 +72,13 @@ def write_snapshots(df: DataFrame, path: str, key: str = "sub_collection") -> No
 def append(df: DataFrame, path: str) -> None:
     """Adds rows to a Parquet folder; the first call makes it."""
     df.write.mode("append").parquet(path)
+
+
+def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True) -> None:
+    """CSV with a header line in each part, null as an empty field; with a tab as ``sep`` it is TSV."""
+    df.write.mode("overwrite").csv(path, sep=sep, header=header, quote='"', escape='"', nullValue="", emptyValue='""')
+
+
+def copy_lines(spark: SparkSession, source: str, target: str) -> None:
+    """Writes the lines of text files as they are."""
+    spark.read.text(source).write.mode("overwrite").text(target)
