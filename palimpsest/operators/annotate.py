@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.config import CATEGORIES
 from palimpsest.functions.text import safe_unit
+from palimpsest.operators.learn import hashed_unit
 
 #: An annotator takes a frame with a column ``query`` and adds a column ``answer``; a remote model is one, called in mapInPandas.
 Annotator = Callable[[DataFrame], DataFrame]
@@ -33,7 +34,7 @@ def rule_annotator(df: DataFrame) -> DataFrame:
 
 def random_annotator(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """A baseline: a category drawn from the key and the seed."""
-    return df.withColumn("answer", F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(len(CATEGORIES))) + 1).cast("int")))
+    return df.withColumn("answer", F.element_at(F.array(*map(F.lit, CATEGORIES)), (F.floor(hashed_unit(F.col(key), seed) * len(CATEGORIES)) + 1).cast("int")))
 
 
 def clean_category(answer: Column) -> Column:

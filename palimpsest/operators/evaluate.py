@@ -7,11 +7,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def labelled(run: DataFrame, qrels: DataFrame) -> DataFrame:
+    """The rows of a run with their label, null where there is none; queries without a relevant document fall out."""
+    relevant = qrels.filter("label > 0").select("qid").distinct()
+    return run.join(relevant, "qid", "left_semi").join(qrels.select("qid", "docid", "label"), ["qid", "docid"], "left")
+
+
 def judged_run(run: DataFrame, qrels: DataFrame, system: list[str], ideal_cut: int = 10) -> DataFrame:
     """Each row of the run with its label and the running sums that metrics need.
 
     The order is score descending, docid descending; the run's rank is ignored. Queries without a relevant document fall out.
-    One window per (system, qid) serves all metrics.
+    One window per (system, qid) serves all metrics. A run that has its labels already (column ``label``, see ``labelled``) is not joined again:
+    a sweep labels its rows once, before configurations multiply them.
     """
     ideal = Window.partitionBy("qid").orderBy(F.col("label").desc(), F.col("docid").asc())
     gain = F.greatest(F.col("label"), F.lit(0)) / F.log2(F.col("_i") + 1)
@@ -28,7 +35,7 @@ def judged_run(run: DataFrame, qrels: DataFrame, system: list[str], ideal_cut: i
     )
     w = Window.partitionBy(*system, "qid").orderBy(F.col("score").desc(), F.col("docid").desc())
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = run.join(qrels.select("qid", "docid", "label"), ["qid", "docid"], "left")
+    joined = run if "label" in run.columns else labelled(run, qrels)
     x = joined.withColumn("i", F.row_number().over(w))
     x = x.withColumn("rel", (F.coalesce("label", F.lit(0)) > 0).cast("int"))
     x = x.withColumn("rels", F.sum("rel").over(upto)).withColumn("nonrels", F.sum(F.coalesce((F.col("label") <= 0).cast("int"), F.lit(0))).over(upto))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.operators.learn import hashed_order
+from palimpsest.operators.learn import hashed_unit
 
 
 def describe_columns(df: DataFrame) -> DataFrame:
@@ -58,7 +58,7 @@ def check_shares(*shares: float) -> None:
 def random_split(df: DataFrame, key: str, train: float = 0.70, validation: float = 0.15, test: float = 0.15, seed: int = 42) -> DataFrame:
     """Adds ``part`` by a number drawn from the key: no shuffle, shares met in expectation, the same at any partitioning."""
     check_shares(train, validation, test)
-    u = F.pmod(hashed_order(F.col(key), seed), F.lit(1_000_000)) / 1_000_000
+    u = hashed_unit(F.col(key), seed)
     return df.withColumn("part", F.when(u < train, "train").when(u < train + validation, "validation").otherwise("test"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, MultilayerPerceptronClassifier, MultilayerPerceptronClassificationModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
+from pyspark.ml.evaluation import BinaryClassificationEvaluator, ClusteringEvaluator
 from pyspark.ml.feature import IDF, PCA, CountVectorizer, CountVectorizerModel, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
@@ -31,8 +31,13 @@ def count_vectors(docs: DataFrame, tokens: str = "tokens", size: int = 10_000, o
 
 
 def hashed_order(key: Column, seed: int = 42) -> Column:
-    """A number by which rows are in an order that depends on the key and the seed alone."""
-    return F.xxhash64(key.cast("string"), F.lit(seed))
+    """Hex digits by which rows are in an order that depends on the key and the seed alone."""
+    return F.md5(F.concat_ws("|", key.cast("string"), F.lit(str(seed))))
+
+
+def hashed_unit(key: Column, seed: int = 42) -> Column:
+    """A number in [0, 1) drawn from the key and the seed."""
+    return F.conv(F.substring(hashed_order(key, seed), 1, 8), 16, 10).cast("double") / float(1 << 32)
 
 
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -41,11 +46,23 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
 
 
 def stratified_split(df: DataFrame, key: str, strata: list[str], train: float = 0.70, validation: float = 0.15, seed: int = 42) -> DataFrame:
-    """Adds ``part``: train, validation or test, in exact shares within each stratum (rounded down)."""
+    """Adds ``part``: train, validation or test, in exact shares within each stratum (rounded down).
+
+    A row's place in its stratum is its place in a bucket (the first four digits of its hash) plus the rows of the buckets before: counts of at most 65 536 buckets
+    per stratum are summed up, and no stratum is sorted in one task.
+    """
+    x = df.withColumn("_h", hashed_order(F.col(key), seed)).withColumn("_b", F.substring("_h", 1, 4))
+    counts = x.groupBy(*strata, "_b").agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*strata)
-    x = df.withColumn("_r", F.row_number().over(w.orderBy(hashed_order(F.col(key), seed), F.col(key)))).withColumn("_n", F.count("*").over(w))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_c").over(w.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_n", F.sum("_c").over(w))
+    same = [F.col(f"x.{s}").eqNullSafe(F.col(f"c.{s}")) for s in strata] + [F.col("x._b") == F.col("c._b")]
+    on = same[0]
+    for c in same[1:]:
+        on = on & c
+    x = x.alias("x").join(counts.alias("c"), on).select("x.*", "c._before", "c._n")
+    x = x.withColumn("_r", F.col("_before") + F.row_number().over(Window.partitionBy(*strata, "_b").orderBy("_h", key)))
     part = F.when(F.col("_r") <= F.floor(F.col("_n") * train), "train").when(F.col("_r") <= F.floor(F.col("_n") * (train + validation)), "validation").otherwise("test")
-    return x.withColumn("part", part).drop("_r", "_n")
+    return x.withColumn("part", part).drop("_r", "_n", "_h", "_b", "_before")
 
 
 def class_weights(df: DataFrame, label: str, positive: str | int | None = None, factor: float = 1.5) -> DataFrame:
@@ -116,6 +133,19 @@ def fit_cluster(df: DataFrame, layers: list[int], features: str = "features", la
     return MultilayerPerceptronClassifier(featuresCol=features, labelCol=label, layers=layers, seed=seed, maxIter=100).fit(df)
 
 
+def fit_heads(df: DataFrame, cluster: str, relevance: str, features: str = "features") -> tuple[LogisticRegressionModel, LogisticRegressionModel]:
+    """Two heads on one encoding: the cluster of a page (multinomial) and its relevance (binary)."""
+    head = lambda label, out: LogisticRegression(featuresCol=features, labelCol=label, maxIter=30, regParam=0.01, predictionCol=out, probabilityCol=f"{out}_p", rawPredictionCol=f"{out}_raw")
+    return head(cluster, "_cluster").fit(df), head(relevance, "_relevant").fit(df)
+
+
+def predict_heads(df: DataFrame, cluster: LogisticRegressionModel, relevance: LogisticRegressionModel) -> DataFrame:
+    """Adds ``cluster`` (the class of the highest probability) and ``p_rel`` (the probability of class 1; 0 if the head knows no class 1)."""
+    x = relevance.transform(cluster.transform(df))
+    p = vector_to_array("_relevant_p")
+    return x.withColumn("cluster", F.col("_cluster").cast("int")).withColumn("p_rel", F.coalesce(F.get(p, F.lit(1)), F.lit(0.0))).drop(*(c for c in x.columns if c.startswith(("_cluster", "_relevant"))))
+
+
 def positive_probability(c: str = "probability") -> Column:
     """The probability of class 1."""
     return vector_to_array(c)[1]
@@ -140,3 +170,12 @@ def classification_metrics(df: DataFrame, label: str = "label", prediction: str
     r = class_report(p)
     n = F.sum("support")
     return r.agg(F.round(F.sum(F.col("recall") * F.col("support")) / n, 6).alias("accuracy"), F.round(F.avg(F.when(F.col("support") > 0, F.col("f1"))), 6).alias("f1_macro"), F.round(F.sum(F.col("f1") * F.col("support")) / n, 6).alias("f1_weighted"))
+
+
+def binary_metrics(df: DataFrame, label: str = "label", threshold: float = 0.5) -> DataFrame:
+    """accuracy, precision, recall, f1_macro, f1_weighted at a threshold on the probability of class 1, and the area under the ROC curve (auc)."""
+    x = df.select(F.col(label).cast("double").alias("label"), positive_probability().alias("p"), "rawPrediction").withColumn("prediction", (F.col("p") >= threshold).cast("double"))
+    auc = BinaryClassificationEvaluator(labelCol="label", rawPredictionCol="rawPrediction").evaluate(x)
+    hit = F.sum(F.when((F.col("label") == 1) & (F.col("prediction") == 1), 1).otherwise(0))
+    one = x.agg(F.round(hit / F.sum("prediction"), 6).alias("precision"), F.round(hit / F.sum("label"), 6).alias("recall")).first()
+    return classification_metrics(x).select("*", F.lit(one.precision).cast("double").alias("precision"), F.lit(one.recall).cast("double").alias("recall"), F.round(F.lit(auc), 6).alias("auc"))

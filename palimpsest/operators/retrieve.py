@@ -17,14 +17,15 @@ def bm25(topics: DataFrame, index: Index, p: Bm25 = Bm25()) -> DataFrame:  # noq
 
     idf = log2((n - df + .5) / (df + .5)), negative for terms in more than half of the documents. Scores are rounded to 6 places
     before ranking; ties go to the smaller docid. Topics without terms of the collection give no rows.
-    Only the postings of query terms are joined; the query side is small and Spark broadcasts it if it is.
+    Only the postings of query terms are joined; postings carry their document's length. The query side is small and Spark broadcasts it if it is. Partial sums per
+    query and document are made before the shuffle.
     """
     part = index.part
     q = topics.select(*part, "qid", F.explode(word_tokens(F.col("query"))).alias("term")).groupBy(*part, "qid", "term").agg(F.count("*").alias("qtf"))
     q = q.join(index.lexicon.select(*part, "term", "df"), [*part, "term"]).join(index.stats, part)
     idf = F.log2((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     q = q.select(*part, "qid", "term", "avdl", (idf * (p.k3 + 1) * F.col("qtf") / (p.k3 + F.col("qtf"))).alias("w"))
-    hits = index.postings.join(q, [*part, "term"]).join(index.docs, [*part, "docid"])
+    hits = index.postings.join(q, [*part, "term"])
     tf = (p.k1 + 1) * F.col("tf") / (p.k1 * ((1 - p.b) + p.b * F.col("dl") / F.col("avdl")) + F.col("tf"))
     scores = hits.groupBy(*part, "qid", "docid").agg(F.round(F.sum(F.col("w") * tf), 6).alias("score"))
     return top_k(scores, [*part, "qid"], p.depth)
@@ -32,7 +33,7 @@ def bm25(topics: DataFrame, index: Index, p: Bm25 = Bm25()) -> DataFrame:  # noq
 
 def term_frequencies(index: Index) -> DataFrame:
     """part, docid, term, tf: each term's share of its document's length."""
-    return index.postings.join(index.docs, [*index.part, "docid"]).select(*index.part, "docid", "term", (F.col("tf") / F.col("dl")).alias("tf"))
+    return index.postings.select(*index.part, "docid", "term", (F.col("tf") / F.col("dl")).alias("tf"))
 
 
 def inverse_frequencies(index: Index) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from palimpsest.config import Bm25
 from palimpsest.functions.text import word_tokens
 from palimpsest.operators import frames
+from palimpsest.operators.index import open_index, save_index
 from palimpsest.operators.lineage import shared_folder
 from palimpsest.plans import base as b
 from palimpsest.plans.base import DOCS, QRELS, RUNS, TOPICS, TOPICS_ONCE, Registry, tokens_sql
+from palimpsest.plans.ranking import INDEX
 from palimpsest.sources import trec
 from palimpsest.sources.tables import python_strings, table
 
@@ -130,12 +132,24 @@ def run_lines(spark: SparkSession, root: str) -> DataFrame:
     return r.join(before, ["name", "qid"]).select("name", "qid", "docid", "score", "rank", (F.col("before") + F.col("rank") + 1).cast("bigint").alias("line"))
 
 
-@R.query()
+@R.query(
+    f"with {QRELS}, u as (select ('0x' || substr(md5(qid || '|' || docid || '|' || sub_collection || '|42'), 1, 8))::bigint / 4294967296.0::double as u from qrels) "
+    "select case when u < 0.7::double then 'train' when u < 0.7::double + 0.15::double then 'validation' else 'test' end as part, count(*) as n from u group by 1"
+)
 def random_parts(spark: SparkSession, root: str) -> DataFrame:
     q = b.qrels(spark, root).withColumn("key", F.concat_ws("|", "qid", "docid", "sub_collection"))
     return frames.random_split(q, "key").groupBy("part").agg(F.count("*").alias("n"))
 
 
+@R.query(f"with {INDEX} select sub_collection, term, sum(tf) as tf, max(dl) as longest from post join dl using (sub_collection, docid) where term in ('maison', 'vent', 'musée') group by all")
+def stored_index(spark: SparkSession, root: str) -> DataFrame:
+    """An index saved to a folder and opened again; three terms are read from its postings."""
+    path = _folder(spark, "index")
+    save_index(b.docs(spark, root), ["sub_collection"], path)
+    p = open_index(spark, ["sub_collection"], path).postings.filter(F.col("term").isin("maison", "vent", "musée"))
+    return p.groupBy("sub_collection", "term").agg(F.sum("tf").alias("tf"), F.max("dl").alias("longest"))
+
+
 @R.query(f"select i as epoch, round(0.001 * (1 + cos(pi() * i / 99)) / 2, 9) as rate, {Bm25().depth} as depth from range(100) t(i)")
 def learning_rates(spark: SparkSession, root: str) -> DataFrame:
     """A cosine schedule over 100 epochs, beside the depth of runs."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.config import CATEGORIES as CATEGORY_NAMES
@@ -13,7 +13,7 @@ from palimpsest.functions.stem import analyze, stem_table
 from palimpsest.functions.text import word_tokens
 from palimpsest.operators import annotate, learn
 from palimpsest.operators.evaluate import agreement, class_report
-from palimpsest.operators.lineage import shared_folder
+from palimpsest.operators.lineage import materialize, shared_folder
 from palimpsest.operators.rank import ranked
 from palimpsest.operators.similarity import cosine
 from palimpsest.plans import base as b
@@ -79,12 +79,15 @@ def class_weights(spark: SparkSession, root: str) -> DataFrame:
     return learn.class_weights(b.qrels(spark, root), "label", 2, 1.5)
 
 
-@R.query()
+@R.query(f"with {TOPICS_ONCE} select qid, query from topics_once order by md5(qid || '|42'), qid limit 100")
 def seeded_sample(spark: SparkSession, root: str) -> DataFrame:
     return learn.seeded_sample(b.topics_once(spark, root), "qid", 100)
 
 
-@R.query()
+@R.query(
+    f"with {QRELS}, k as (select *, qid || '|' || docid || '|' || sub_collection as key from qrels), r as (select *, row_number() over (partition by label order by md5(key || '|42'), key) as r, count(*) over (partition by label) as c from k) "
+    "select label, case when r <= floor(c * 0.7::double) then 'train' when r <= floor(c * (0.7::double + 0.15::double)) then 'validation' else 'test' end as part, count(*) as n from r group by all"
+)
 def stratified_split(spark: SparkSession, root: str) -> DataFrame:
     q = b.qrels(spark, root).withColumn("key", F.concat_ws("|", "qid", "docid", "sub_collection"))
     return learn.stratified_split(q, "key", ["label"]).groupBy("label", "part").agg(F.count("*").alias("n"))
@@ -128,7 +131,7 @@ def rule_annotator(spark: SparkSession, root: str) -> DataFrame:
     return annotate.rule_annotator(b.topics_once(spark, root))
 
 
-@R.query()
+@R.query(f"with {TOPICS_ONCE} select ([{', '.join(repr(c) for c in CATEGORY_NAMES)}])[1 + floor(('0x' || substr(md5(qid || '|42'), 1, 8))::bigint / 4294967296.0 * {len(CATEGORY_NAMES)})::int] as answer, count(*) as n from topics_once group by 1")
 def random_annotator(spark: SparkSession, root: str) -> DataFrame:
     return annotate.random_annotator(b.topics_once(spark, root), "qid").groupBy("answer").agg(F.count("*").alias("n"))
 
@@ -198,7 +201,7 @@ def pca_2d(spark: SparkSession, root: str) -> DataFrame:
 @R.query()
 def cluster_model(spark: SparkSession, root: str) -> DataFrame:
     """The cluster head, trained on a split of the labelled vectors and measured on the rest."""
-    v = learn.stratified_split(_vectors(spark, root), "vec_id", ["label"]).persist()
+    v = learn.stratified_split(_vectors(spark, root), "vec_id", ["label"])
     m = learn.fit_cluster(v.filter("part = 'train'"), [64, 32, 10])
     return learn.classification_metrics(m.transform(v.filter("part = 'test'")))
 
@@ -208,44 +211,56 @@ def _relevance(spark: SparkSession, root: str) -> DataFrame:
     x = q.select("docid", "sub_collection", "qid", (F.col("label") > 0).cast("int").alias("label"), word_tokens(F.col("text")).alias("tokens"))
     w = learn.class_weights(x, "label", 1, 1.5).select("label", "weight")
     x = x.join(w, "label").withColumn("key", F.concat_ws("|", "qid", "docid", "sub_collection"))
-    x = learn.stratified_split(x, "key", ["label"])
+    x = materialize(learn.stratified_split(x, "key", ["label"]), "relevance")
     return CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=VOCABULARY, binary=True).fit(x).transform(x)
 
 
 @R.query()
 def relevance_model(spark: SparkSession, root: str) -> DataFrame:
     """The relevance head on multi-hot pages, class-weighted, measured on the held-out part."""
-    x = _relevance(spark, root).persist()
+    x = _relevance(spark, root)
     m = learn.fit_relevance(x.filter("part = 'train'"))
-    return learn.classification_metrics(m.transform(x.filter("part = 'test'")))
+    return learn.binary_metrics(m.transform(x.filter("part = 'test'")))
 
 
 @R.query(
     f"with {RUNS}, {TOPICS_ONCE}, c as ({_LABELS}), x as (select name, r.qid, r.docid, score * case when c.cluster = e.label then 2 * round(1 / (1 + exp(-embedding[1]::double)), 6) else 1.0::double end as score "
-    "from runs r left join embeddings e on e.vec_id = r.docid % 500 left join c on c.qid = r.qid) "
+    "from runs r left join embeddings e on e.vec_id = r.docid % (select count(*) from embeddings) left join c on c.qid = r.qid) "
     "select name, qid, docid, round(score, 6) as score, cast(row_number() over (partition by name, qid order by round(score, 6) desc, docid) as int) as rank from x"
 )
 def cluster_gated_rerank(spark: SparkSession, root: str) -> DataFrame:
     """Scores times twice the probability of relevance where a page's cluster is the topic's.
 
-    Stand-ins for predictions: a page takes the label and the first coordinate of a vector picked by its id among the first 500.
+    The gate on predictions that SQL can state: a page takes the label and the first coordinate of one of all vectors of the table, whose vec_id counts from 0. Predictions of
+    fitted models are gated the same way in ``model_gated_rerank``.
     """
-    return _gated(spark, root, F.col("docid") % 500)
+    run, e = b.runs(spark, root), table(spark, root, "embeddings")
+    p = e.select(F.col("vec_id").alias("_v"), F.col("label").alias("cluster"), F.round(1 / (1 + F.exp(-F.col("embedding")[0].cast("double"))), 6).alias("p_rel"))
+    predictions = run.select("docid").distinct().join(p, F.col("docid") % e.count() == F.col("_v")).select("docid", "cluster", "p_rel")
+    return _gated(run, predictions, _clusters(spark, root))
 
 
-@R.query()
-def cluster_gated_rerank_full(spark: SparkSession, root: str) -> DataFrame:
-    """As cluster_gated_rerank, with pages spread over all vectors of the table, whose vec_id counts from 0."""
-    return _gated(spark, root, F.col("docid") % table(spark, root, "embeddings").count())
+def _gated(run: DataFrame, predictions: DataFrame, clusters: DataFrame) -> DataFrame:
+    x = learn.gate(run, predictions, clusters).withColumn("score", F.round("score", 6))
+    return ranked(x, ["name", "qid"]).select("name", "qid", "docid", "score", "rank")
 
 
-def _gated(spark: SparkSession, root: str, vector: Column) -> DataFrame:
-    run = b.runs(spark, root)
-    p = table(spark, root, "embeddings").select(F.col("vec_id").alias("_v"), F.col("label").alias("cluster"), F.round(1 / (1 + F.exp(-F.col("embedding")[0].cast("double"))), 6).alias("p_rel"))
-    ids = run.select("docid").distinct()
-    predictions = ids.join(p, vector == F.col("_v")).select("docid", "cluster", "p_rel")
-    x = learn.gate(run, predictions, _clusters(spark, root)).withColumn("score", F.round("score", 6))
-    return ranked(x, ["name", "qid"]).select("name", "qid", "docid", "score", "rank")
+@R.query()
+def model_gated_rerank(spark: SparkSession, root: str) -> DataFrame:
+    """Runs re-ranked by two heads on one encoding of the pages: the cluster of the topics a page serves, and its relevance.
+
+    Both heads learn from the judged pages of the snapshots up to 2023-02 and predict all pages of 2023-03; the clusters are those of ``topic_clusters``.
+    """
+    clusters = topic_clusters(spark, root)
+    d = b.docs(spark, root).filter("text is not null").select("docid", "sub_collection", word_tokens(F.col("text")).alias("tokens"))
+    q = b.qrels(spark, root).filter("sub_collection <= '2023-02'").join(clusters, "qid")
+    train = d.join(q, ["docid", "sub_collection"]).select("tokens", F.col("cluster").cast("double").alias("cluster_label"), (F.col("label") > 0).cast("double").alias("label"))
+    train = materialize(train, "judged-pages")
+    encoder = learn.count_vectors(train, size=VOCABULARY)
+    x = encoder.transform(train)
+    heads = learn.fit_heads(x, "cluster_label", "label")
+    predictions = learn.predict_heads(encoder.transform(d.filter("sub_collection = '2023-03'")), *heads).select("docid", "cluster", "p_rel")
+    return _gated(b.runs(spark, root), predictions, clusters)
 
 
 @R.query(f"with {RUNS} select name, qid, 'doc' || docid as docno, round(score, 4) as score, cast(row_number() over (partition by name, qid order by score desc, docid) as int) as rank from runs qualify row_number() over (partition by name, qid order by score desc, docid) <= 1000")

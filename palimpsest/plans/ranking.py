@@ -292,67 +292,68 @@ def bm25_by_snapshot(spark: SparkSession, root: str) -> DataFrame:
     return ev.experiment(r, b.qrels_any(spark, root), ["name"])
 
 
-def _judged_runs(spark: SparkSession, root: str) -> DataFrame:
-    """The runs of queries that count in metrics, before configurations multiply them."""
-    q = b.qrels_any(spark, root).filter("label > 0").select("qid").distinct()
-    return b.runs(spark, root).join(q, "qid", "left_semi")
+def _sweep(run: DataFrame, configs: DataFrame, score: F.Column, qrels: DataFrame) -> DataFrame:
+    """Metrics of every configuration in one job: rows get their labels first and are multiplied last."""
+    axes = configs.columns
+    rows = with_configs(ev.labelled(run, qrels), configs).select(*axes, "name", "qid", "docid", "label", F.round(score, 6).alias("score"))
+    return ev.experiment(rows, qrels, [*axes, "name"])
 
 
-def _sweep(configured: DataFrame, score: F.Column, spark: SparkSession, root: str, axes: list[str]) -> DataFrame:
-    run = configured.select("config", *axes, "name", "qid", "docid", F.round(score, 6).alias("score"))
-    return ev.experiment(run, b.qrels_any(spark, root), ["config", *axes, "name"])
+def _rare(spark: SparkSession, root: str) -> DataFrame:
+    return _dates(spark, root).filter("n_dates <= 3").select("docid", F.lit(1).alias("rare"))
 
 
 @R.query(
-    f"with {RUNS}, {QRELS_ANY}, {_RARE}, g as (select i::int as config, round(1 + 0.01 * i, 2)::double as boost from range(11) t(i)), "
+    f"with {RUNS}, {QRELS_ANY}, {_RARE}, g as (select i::int as config, round(1 + 0.01 * i, 2)::double as boost from range(110) t(i)), "
     "x as (select config, boost, name, qid, docid, round(score * case when r.docid is not null then boost else 1.0 end, 6) as score from runs left join rare r using (docid), g), "
     f"{metric_sql('x', 'config, boost, name')} select config, boost, name, {_MEANS} from qm group by all"
 )
 def boost_sweep(spark: SparkSession, root: str) -> DataFrame:
-    return _boost_sweep(spark, root, 11)
+    """110 factors from 1.00 to 2.09 for pages of few crawl dates."""
+    g = grid(spark, boost=[round(1 + 0.01 * i, 2) for i in range(110)])
+    run = b.runs(spark, root).join(_rare(spark, root), "docid", "left")
+    return _sweep(run, g, F.col("score") * F.when(F.col("rare").isNotNull(), F.col("boost")).otherwise(1.0), b.qrels_any(spark, root))
 
 
-def _boost_sweep(spark: SparkSession, root: str, steps: int) -> DataFrame:
-    g = grid(spark, boost=[round(1 + 0.01 * i, 2) for i in range(steps)])
-    rare = _dates(spark, root).filter("n_dates <= 3").select("docid", F.lit(1).alias("rare"))
-    run = with_configs(_judged_runs(spark, root).join(rare, "docid", "left"), g)
-    return _sweep(run, F.col("score") * F.when(F.col("rare").isNotNull(), F.col("boost")).otherwise(1.0), spark, root, ["boost"])
-
-
-@R.query()
-def boost_sweep_full(spark: SparkSession, root: str) -> DataFrame:
-    """The reference's 110 steps, 1.00 to 2.09."""
-    return _boost_sweep(spark, root, 110)
+#: Axis of each category in the grid, and the values of every axis.
+_AXES = {"time-independent": "w_independent", "timeliness": "w_timeliness", "event": "w_event", "explicit-time": "w_explicit"}
+_FACTORS = [1.0, 1.05, 1.1, 1.15, 1.2]
+_PARTS = ", ".join(f"sum({m}::decimal(12, 6)) as {m}" for m in ev.METRICS)
+_OF_PARTS = "sum(n)::bigint as queries, " + ", ".join(f"round(sum({m})::double / sum(n), 6) as {m}" for m in ev.METRICS)
 
 
 @R.query(
-    f"with {RUNS}, {QRELS_ANY}, {CATEGORIES}, s as (select round(1 + 0.1 * i, 1)::double as v from range(2) t(i)), "
-    "g as (select (row_number() over (order by a.v, b.v, c.v, d.v) - 1)::int as config, a.v as w_independent, b.v as w_timeliness, c.v as w_event, d.v as w_explicit from s a, s b, s c, s d), "
-    "x as (select config, w_independent, w_timeliness, w_event, w_explicit, name, qid, docid, round(score * case category when 'time-independent' then w_independent when 'timeliness' then w_timeliness when 'event' then w_event when 'explicit-time' then w_explicit else 1.0 end, 6) as score "
-    "from runs left join categories using (qid), g), "
-    f"{metric_sql('x', 'config, w_independent, w_timeliness, w_event, w_explicit, name')} select config, w_independent, w_timeliness, w_event, w_explicit, name, {_MEANS} from qm group by all"
+    f"with {RUNS}, {QRELS_ANY}, {CATEGORIES}, {_RARE}, s as (select unnest([{', '.join(map(str, _FACTORS))}]::double[]) as v), "
+    f"g as (select (row_number() over (order by a.v, b.v, c.v, d.v) - 1)::int as config, a.v as w_independent, b.v as w_timeliness, c.v as w_event, d.v as w_explicit from s a, s b, s c, s d), "
+    "x as (select coalesce(category, '') as category, v, name, qid, docid, round(score * case when r.docid is not null then v else 1.0 end, 6) as score from runs left join categories using (qid) left join rare r using (docid) join s on category is not null or v = 1.0), "
+    f"{metric_sql('x', 'category, v, name')}, part as (select category, v, name, count(*) as n, {_PARTS} from qm group by all), "
+    "e as (select *, '' as category, 1.0::double as v from g " + " ".join(f"union all select *, '{c}', {a} from g" for c, a in _AXES.items()) + ") "
+    f"select config, w_independent, w_timeliness, w_event, w_explicit, name, {_OF_PARTS} from e join part using (category, v) group by config, w_independent, w_timeliness, w_event, w_explicit, name"
 )
 def category_grid(spark: SparkSession, root: str) -> DataFrame:
-    return _category_grid(spark, root, [1.0, 1.1])
-
-
-def _category_grid(spark: SparkSession, root: str, factors: list[float]) -> DataFrame:
-    axes = ["w_independent", "w_timeliness", "w_event", "w_explicit"]
-    g = grid(spark, **{a: factors for a in axes})
-    run = with_configs(_judged_runs(spark, root).join(b.categories(spark, root), "qid", "left"), g)
-    c = F.col("category")
-    f = F.when(c == "time-independent", F.col(axes[0])).when(c == "timeliness", F.col(axes[1])).when(c == "event", F.col(axes[2])).when(c == "explicit-time", F.col(axes[3])).otherwise(1.0)
-    return _sweep(run, F.col("score") * f, spark, root, axes)
-
-
-@R.query()
-def category_grid_full(spark: SparkSession, root: str) -> DataFrame:
-    """The reference's 625 configurations: 1.00 to 1.20 in steps of 0.05 for each category."""
-    return _category_grid(spark, root, [1.0, 1.05, 1.1, 1.15, 1.2])
-
-
+    """625 configurations: a factor from 1.00 to 1.20 for each category, on pages of few crawl dates.
+
+    A query has one category, so only one axis concerns it: its metrics are computed once per value of that axis (five times, not 625), summed up by
+    category and value, and each configuration adds up its four sums and that of the queries without a category. Sums are exact decimals.
+    """
+    run = b.runs(spark, root).join(b.categories(spark, root), "qid", "left").join(_rare(spark, root), "docid", "left").withColumn("category", F.coalesce("category", F.lit("")))
+    qrels = b.qrels_any(spark, root)
+    values = F.when(F.col("category") == "", F.array(F.lit(1.0))).otherwise(F.array(*map(F.lit, _FACTORS)))
+    rows = ev.labelled(run, qrels).withColumn("v", F.explode(values))
+    rows = rows.withColumn("score", F.round(F.col("score") * F.when(F.col("rare").isNotNull(), F.col("v")).otherwise(1.0), 6))
+    q = ev.query_metrics(rows.select("category", "v", "name", "qid", "docid", "label", "score"), qrels, ["category", "v", "name"])
+    parts = q.groupBy("category", "v", "name").agg(F.count("*").alias("n"), *(F.sum(F.col(m).cast("decimal(12,6)")).alias(m) for m in ev.METRICS))
+    g = grid(spark, **{a: _FACTORS for a in _AXES.values()})
+    own = F.array(F.struct(F.lit("").alias("category"), F.lit(1.0).alias("v")), *(F.struct(F.lit(c).alias("category"), F.col(a).alias("v")) for c, a in _AXES.items()))
+    x = g.select("*", F.inline(own)).join(parts, ["category", "v"])
+    means = (F.round(F.sum(m).cast("double") / F.sum("n"), 6).alias(m) for m in ev.METRICS)
+    return x.groupBy("config", *_AXES.values(), "name").agg(F.sum("n").alias("queries"), *means)
+
+
+#: Values of the three weights.
+_WEIGHT_VALUES = [1e3, 3e3, 1e4, 1e8]
 _WEIGHTS = (
-    f"with {DOCS}, {RUNS}, {QRELS_ANY}, {CATEGORIES}, {_TAGS}, o as (select docid, count(*) as occurrences from current_row group by docid), s as (select unnest([0.5, 1.0]::double[]) as v), "
+    f"with {DOCS}, {RUNS}, {QRELS_ANY}, {CATEGORIES}, {_TAGS}, o as (select docid, count(*) as occurrences from current_row group by docid), s as (select unnest({_WEIGHT_VALUES}::double[]) as v), "
     "g as (select (row_number() over (order by a.v, b.v, c.v) - 1)::int as config, a.v as w_score, b.v as w_count, c.v as w_tag from s a, s b, s c), "
     "x as (select config, w_score, w_count, w_tag, name, qid, docid, round(w_score * score + w_count * coalesce(occurrences, 1) + w_tag * coalesce(tag, 0), 6) as score from runs left join tags using (qid) left join o using (docid), g), "
     f"{metric_sql('x', 'config, w_score, w_count, w_tag, name')}, t as (select config, w_score, w_count, w_tag, name, {_MEANS} from qm group by all) "
@@ -361,32 +362,16 @@ _WEIGHTS = (
 
 @R.query(_WEIGHTS + "select * from t")
 def weight_grid(spark: SparkSession, root: str) -> DataFrame:
-    return _weight_grid(spark, root, [0.5, 1.0])
-
-
-def _weight_grid(spark: SparkSession, root: str, weights: list[float]) -> DataFrame:
-    g = grid(spark, w_score=weights, w_count=weights, w_tag=weights)
-    q = b.qrels_any(spark, root).filter("label > 0").select("qid").distinct()
-    run = with_configs(_tagged(spark, root).join(q, "qid", "left_semi"), g)
+    """64 configurations of the weights of score, occurrences and tag."""
+    g = grid(spark, w_score=_WEIGHT_VALUES, w_count=_WEIGHT_VALUES, w_tag=_WEIGHT_VALUES)
     s = F.col("w_score") * F.col("score") + F.col("w_count") * F.coalesce("occurrences", F.lit(1)) + F.col("w_tag") * F.coalesce("tag", F.lit(0.0))
-    return _sweep(run, s, spark, root, ["w_score", "w_count", "w_tag"])
-
-
-@R.query()
-def weight_grid_full(spark: SparkSession, root: str) -> DataFrame:
-    """The reference's 64 configurations."""
-    return _weight_grid(spark, root, [1e3, 3e3, 1e4, 1e8])
+    return _sweep(_tagged(spark, root), g, s, b.qrels_any(spark, root))
 
 
 @R.query(_WEIGHTS + "select config, name, ap from t order by ap desc, config, name limit 1")
 def best_configuration(spark: SparkSession, root: str) -> DataFrame:
+    """The best of the 64 configurations of weight_grid."""
     return ev.best(weight_grid(spark, root), "ap", ["config", "name"]).select("config", "name", "ap")
 
 
-@R.query()
-def best_configuration_full(spark: SparkSession, root: str) -> DataFrame:
-    """The best of the 64 configurations of weight_grid_full."""
-    return ev.best(weight_grid_full(spark, root), "ap", ["config", "name"]).select("config", "name", "ap")
-
-
 QUERIES, ORACLE = R.queries, R.oracle

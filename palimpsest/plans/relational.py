@@ -30,19 +30,10 @@ def safe_numeric_clean(spark: SparkSession, root: str) -> DataFrame:
     return table(spark, root, "qrel").select("queryid", "docid", "sub_collection", "relevance", safe_unit(F.col("relevance")).alias("unit"))
 
 
-@R.query(f"with {QRELS} select qid, docid, sub_collection, label from qrels where try_cast(qid as bigint) between 1 and 24999 and label > 0")
+@R.query(f"with {QRELS} select qid, docid, sub_collection, label from qrels where try_cast(qid as bigint) between 1 and 81999 and label > 0")
 def key_domain_filter(spark: SparkSession, root: str) -> DataFrame:
-    return _key_domain(spark, root, 25_000)
-
-
-def _key_domain(spark: SparkSession, root: str, end: int) -> DataFrame:
-    return b.qrels(spark, root).filter(F.col("qid").try_cast("bigint").between(1, end - 1) & (F.col("label") > 0))
-
-
-@R.query()
-def key_domain_filter_full(spark: SparkSession, root: str) -> DataFrame:
-    """As key_domain_filter, with the reference's bound of 82 000."""
-    return _key_domain(spark, root, 82_000)
+    """Relevant judgments of the queries 1 to 81 999."""
+    return b.qrels(spark, root).filter(F.col("qid").try_cast("bigint").between(1, 81_999) & (F.col("label") > 0))
 
 
 @R.query(f"with {TOPICS} select qid, sub_collection, query from topics where sub_collection in ('2023-02', '2023-03') and qid not in ({_SPAM})")
@@ -62,14 +53,15 @@ def conditional_map(spark: SparkSession, root: str) -> DataFrame:
 
 
 @R.query(
-    "select sub_collection, count(*) as n, count(*) filter (cast(substr(sub_collection, 1, 4) as int) < 2023 or (cast(substr(sub_collection, 1, 4) as int) = 2023 and cast(substr(sub_collection, 6, 2) as int) <= 1)) as n_split "
-    "from document_snapshot where sub_collection <= '2023-01' group by sub_collection"
+    "select sub_collection, count(*) as n, count(*) filter (sub_collection <= '2023-01') as n_text, count(*) filter (cast(substr(sub_collection, 1, 4) as int) < 2023 or (cast(substr(sub_collection, 1, 4) as int) = 2023 and cast(substr(sub_collection, 6, 2) as int) <= 1)) as n_split "
+    "from document_snapshot group by sub_collection"
 )
 def month_window_predicate(spark: SparkSession, root: str) -> DataFrame:
+    """Rows up to 2023-01 in every snapshot, by comparing the text and by comparing year and month: the same for zero-padded months."""
     year, month = F.substring("sub_collection", 1, 4).cast("int"), F.substring("sub_collection", 6, 2).cast("int")
     inside = (year < 2023) | ((year == 2023) & (month <= 1))
-    d = table(spark, root, "document_snapshot").filter("sub_collection <= '2023-01'")
-    return d.groupBy("sub_collection").agg(F.count("*").alias("n"), F.sum(inside.cast("bigint")).alias("n_split"))
+    d = table(spark, root, "document_snapshot")
+    return d.groupBy("sub_collection").agg(F.count("*").alias("n"), F.count(F.when(F.col("sub_collection") <= "2023-01", 1)).alias("n_text"), F.count(F.when(inside, 1)).alias("n_split"))
 
 
 @R.query(f"with {DOCS}, {QRELS} select qid, docid, sub_collection, label, length(coalesce(text, '')) as chars from qrels join current_row using (docid, sub_collection)")
@@ -123,12 +115,15 @@ def full_outer_by_text(spark: SparkSession, root: str) -> DataFrame:
     return x.select("query", "qid_a", "qid_b", F.coalesce("qid_a", "qid_b").alias("qid"))
 
 
-@R.query(f"with {RUNS}, {QRELS_ANY}, f as (select name, qid, runs.docid as run_doc, q.docid as judged_doc from runs join qrels_any q using (qid) where label > 0) select name, qid, count(*) as pairs, count(distinct run_doc) as run_docs, count(distinct judged_doc) as judged_docs from f group by all")
+@R.query(f"with {RUNS}, {QRELS_ANY} select name, qid, runs.docid as run_doc, score, q.docid as judged_doc, label, runs.docid = q.docid as same from runs join qrels_any q using (qid) where label > 0")
 def fanout_join(spark: SparkSession, root: str) -> DataFrame:
-    """The sizes of the join of run and judged documents on the query alone; counted on each side, so the pairs are never made."""
-    r = b.runs(spark, root).groupBy("name", "qid").agg(F.count("*").alias("run_docs"))
-    q = b.qrels_any(spark, root).filter("label > 0").groupBy("qid").agg(F.count("*").alias("judged_docs"))
-    return r.join(q, "qid").select("name", "qid", (F.col("run_docs") * F.col("judged_docs")).alias("pairs"), "run_docs", "judged_docs")
+    """Each listed page beside each relevant page of its query: the many-to-many join on the query alone.
+
+    The judged side of a query is small; a listed query of a tenth of all rows is split by AQE, as nothing but a projection follows the join.
+    """
+    q = b.qrels_any(spark, root).filter("label > 0").select("qid", F.col("docid").alias("judged_doc"), "label")
+    x = b.runs(spark, root).select("name", "qid", F.col("docid").alias("run_doc"), "score").join(q, "qid")
+    return x.select("name", "qid", "run_doc", "score", "judged_doc", "label", (F.col("run_doc") == F.col("judged_doc")).alias("same"))
 
 
 @R.query(f"with {TOPICS_ONCE}, {CATEGORIES} select qid, query from topics_once anti join categories using (qid)")
@@ -167,12 +162,13 @@ def snapshot_pair(spark: SparkSession, root: str) -> DataFrame:
     return snapshot_pairs(b.docs(spark, root), "2023-02", "2023-03").select("docid", F.length("text_a").alias("chars_a"), F.length("text_b").alias("chars_b"))
 
 
-@R.query("select round(1 + 0.05 * a.i, 2) as w_a, round(1 + 0.05 * b.i, 2) as w_b from range(5) a(i), range(5) b(i)")
+@R.query("select round(1 + 0.05 * a.i, 2) as w_a, round(1 + 0.05 * b.i, 2) as w_b, round(1 + 0.05 * c.i, 2) as w_c, round(1 + 0.05 * d.i, 2) as w_d from range(5) a(i), range(5) b(i), range(5) c(i), range(5) d(i)")
 def param_grid(spark: SparkSession, root: str) -> DataFrame:
+    """The 625 points of a grid of four axes."""
     from palimpsest.operators.rank import grid
 
     steps = [round(1 + 0.05 * i, 2) for i in range(5)]
-    return grid(spark, w_a=steps, w_b=steps).select("w_a", "w_b")
+    return grid(spark, w_a=steps, w_b=steps, w_c=steps, w_d=steps).select("w_a", "w_b", "w_c", "w_d")
 
 
 @R.query("select sub_collection, count(*) as n_rows, count(distinct docid) as docids, count(*) filter (text_fr is null) as no_text from document_snapshot group by sub_collection")
@@ -218,9 +214,9 @@ def dedup_keep_first(spark: SparkSession, root: str) -> DataFrame:
     return latest(c, ["qid"], [F.col("query").asc_nulls_last(), F.col("answer").asc_nulls_last()]).select("qid", "query", "answer")
 
 
-@R.query(f"with {DOCS}, t as (select unnest({tokens_sql('text')}) as term from current_row where sub_collection = '2023-03') select term, count(*) as n from t group by term")
+@R.query(f"with {DOCS}, t as (select unnest({tokens_sql('text')}) as term from current_row) select term, count(*) as n from t group by term")
 def term_frequency(spark: SparkSession, root: str) -> DataFrame:
-    d = b.docs(spark, root).filter("sub_collection = '2023-03'")
+    d = b.docs(spark, root)
     return d.select(F.explode(word_tokens(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
 
 
@@ -288,9 +284,9 @@ def rank_zero_based(spark: SparkSession, root: str) -> DataFrame:
     return ranked(b.runs(spark, root), ["name", "qid"], base=0).select("name", "qid", "docid", "score", "rank")
 
 
-@R.query(f"with {RUNS} select name, qid, docid, cast(row_number() over (partition by name, qid order by score desc, docid) as int) as rank from runs qualify row_number() over (partition by name, qid order by score desc, docid) <= 100")
+@R.query(f"with {RUNS} select name, qid, docid, cast(row_number() over (partition by name, qid order by score desc, docid) as int) as rank from runs qualify row_number() over (partition by name, qid order by score desc, docid) <= 1000")
 def topk_per_query(spark: SparkSession, root: str) -> DataFrame:
-    return top_k(b.runs(spark, root), ["name", "qid"], 100).select("name", "qid", "docid", "rank")
+    return top_k(b.runs(spark, root), ["name", "qid"], 1000).select("name", "qid", "docid", "rank")
 
 
 @R.query(f"with {RUNS}, {QRELS_ANY} select name, count(*) as run_docs, count(q.docid) as judged from (select distinct name, qid, docid from runs) r left join qrels_any q using (qid, docid) group by name")

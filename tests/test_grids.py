@@ -6,19 +6,22 @@ from palimpsest.plans import learning, ranking
 
 
 def test_full_grids(spark, monkeypatch):
-    run = spark.createDataFrame([("s", "q", 1, 2.0, "event", 1.0, 3)], "name string, qid string, docid bigint, score double, category string, tag double, occurrences int")
-    monkeypatch.setattr(ranking, "_judged_runs", lambda *_: run.drop("category", "tag", "occurrences"))
-    monkeypatch.setattr(ranking, "_tagged", lambda *_: run)
-    monkeypatch.setattr(ranking, "_dates", lambda *_: spark.createDataFrame([(1, 1)], "docid bigint, n_dates int"))
-    monkeypatch.setattr(ranking.b, "categories", lambda *_: run.select("qid", "category"))
-    monkeypatch.setattr(ranking.b, "qrels_any", lambda *_: run.select("qid", "docid", F.lit(1).alias("label")))
-    monkeypatch.setattr(ranking, "_sweep", lambda configured, score, *_: configured.withColumn("score", score))
-    boosts = [r.score for r in ranking.boost_sweep_full(spark, "").orderBy("config").collect()]
-    assert len(boosts) == 110 and boosts[-1] == 2 * 2.09
-    events = [r.score for r in ranking.category_grid_full(spark, "").collect()]
-    assert len(events) == 625 and set(events) == {2.0, 2.1, 2.2, 2.3, 2.4}
-    weights = [r.score for r in ranking.weight_grid_full(spark, "").orderBy("config").collect()]
-    assert len(weights) == 64 and weights[0] == 1e3 * 6 and weights[-1] == 1e8 * 6
+    """Every configuration of a grid that is evaluated in parts has the metrics of that configuration evaluated alone."""
+    run = spark.createDataFrame([("s", "q", 1, 2.0), ("s", "q", 2, 2.1), ("s", "r", 1, 1.0), ("s", "r", 3, 1.15), ("s", "u", 2, 1.0)], "name string, qid string, docid bigint, score double")
+    qrels = spark.createDataFrame([("q", 1, 1), ("r", 1, 2), ("u", 2, 1)], "qid string, docid bigint, label int")
+    cats = spark.createDataFrame([("q", "event"), ("r", "timeliness")], "qid string, category string")
+    monkeypatch.setattr(ranking, "_dates", lambda *_: spark.createDataFrame([(1, 1), (2, 9)], "docid bigint, n_dates int"))
+    monkeypatch.setattr(ranking, "_tagged", lambda *_: run.withColumn("tag", F.lit(1.0)).withColumn("occurrences", F.lit(3)))
+    for n, f in (("runs", run), ("qrels_any", qrels), ("categories", cats)):
+        monkeypatch.setattr(ranking.b, n, lambda *_, f=f: f)
+    boosts = ranking.boost_sweep(spark, "").collect()
+    assert len(boosts) == 110 and {round(r.boost, 2) for r in boosts if r.ap == 1.0} == {round(1 + i / 100, 2) for i in range(16, 110)}
+    grid = ranking.category_grid(spark, "").collect()
+    assert len(grid) == 625 and {r.queries for r in grid} == {3}
+    for r in grid:
+        want = (1.0 if r.w_event > 1.05 else 0.5) + (1.0 if r.w_timeliness > 1.15 else 0.5) + 1.0
+        assert abs(r.ap - want / 3) < 1e-5, r
+    assert ranking.weight_grid(spark, "").count() == 64
 
 
 def test_silhouettes_of_every_k(spark, monkeypatch):
