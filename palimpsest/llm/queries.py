@@ -59,7 +59,7 @@ def p7_matches(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
-    return p7_matches(spark, root).groupBy("doc_id", "item_id").agg(F.max("words").alias("words")).select("doc_id", "item_id")
+    return p7_matches(spark, root).select("doc_id", "item_id")
 
 
 def p7_clean(spark: SparkSession, root: str) -> DataFrame:

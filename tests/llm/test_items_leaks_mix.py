@@ -3,8 +3,12 @@
 import math
 import os
 import random
+import re
+import time
+import unicodedata
 from collections import defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -28,6 +32,11 @@ def test_top_items_against_brute_force(spark):
     assert top_items(df.limit(0), ["g"], "item", "score").count() == 0
 
 
+def leak_words(text):
+    text = "".join(c for c in unicodedata.normalize("NFD", text or "") if not unicodedata.combining(c))
+    return re.findall(r"[^\W_]+", text.lower())
+
+
 def documents(spark, rows):
     return spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("item_id", F.lit("clash")).withColumn("words", F.lit(1))
 
@@ -41,7 +50,7 @@ def test_leaks_against_brute_force(spark):
     for d in range(150):
         w = [rng.choice([*vocab, "autre"]) for _ in range(rng.randint(0, 60))]
         if rng.random() < 0.5:
-            src = leaks.leak_words(items[rng.randrange(11)][1])
+            src = leak_words(items[rng.randrange(11)][1])
             a = rng.randrange(len(src))
             w[5:5] = src[a : a + rng.randint(6, 30)]
         docs.append((d, " ".join(w).upper() if d % 3 == 0 else ", ".join(w)))
@@ -61,7 +70,7 @@ def test_leaks_against_brute_force(spark):
     want = {}
     for d, t in docs[:-1]:
         for i, h in items:
-            n = longest(leaks.leak_words(t), leaks.leak_words(h))
+            n = longest(leak_words(t), leak_words(h))
             if n >= 12:
                 want[d, i] = n
     df, it = documents(spark, docs).repartition(3), spark.createDataFrame(items, "item_id bigint, text string").withColumn("doc_id", F.lit(0))
@@ -73,6 +82,24 @@ def test_leaks_against_brute_force(spark):
     assert {r.doc_id for r in left.collect()} == {d for d, _ in docs} - {d for d, _ in want} - {902}
 
 
+def test_one_word_repeated(spark):
+    """20 000 equal words against an item of 500 of them: one match, in bounded time and memory."""
+    held = leaks._Items([(1, np.zeros(500, np.int64))])
+    tokens = np.append(np.ones(20_000, np.int64), 0)
+    began = time.time()
+    out = leaks._match(np.array([7]), tokens, np.array([0]), held, 12).to_pylist()
+    assert out == [{"doc_id": 7, "item_id": 1, "words": 500, "doc_word": 0, "item_word": 0}] and time.time() - began < 5
+
+
+def test_suffix_order():
+    rng = np.random.default_rng(3)
+    tokens = np.append(rng.integers(0, 4, 300), 0)
+    cut = lambda k: tuple(tokens[k : k + int(np.flatnonzero(tokens[k:] == 0)[0])])
+    rank, suffixes = leaks.suffix_ranks(tokens, 1000)[0], [cut(k) for k in range(301)]
+    order = {s: n for n, s in enumerate(sorted(set(suffixes)))}
+    assert [order[s] for s in suffixes] == list(rank)
+
+
 def test_leak_positions_and_empty(spark):
     passage = " ".join(f"p{i}" for i in range(14))
     df = documents(spark, [(1, f"avant lui {passage} après"), (2, "rien")])
