@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from palimpsest.functions.text import words
 from palimpsest.llm.setsketch import SketchParams, similar_texts
@@ -13,16 +12,20 @@ from palimpsest.operators.snapshots import current_texts, latest
 
 
 def text_classes(snapshot: DataFrame, p: SketchParams) -> tuple[DataFrame, DataFrame]:
-    """Texts that agree word for word as one class: members (id, sub_collection, docid) and texts (id, words).
+    """Texts that agree word for word as one class: members (id, sub_collection, docid) and texts (id, mask, words).
 
-    ``words`` are 64-bit word hashes and ``id`` a 64-bit hash of their sequence. Texts of fewer words than a
+    ``words`` are 64-bit word hashes and ``id`` a 64-bit hash of their sequence. ``mask`` has a bit for each snapshot in which the text is current, so texts that never
+    stand in one snapshot are not compared (two snapshots may share a bit, which costs a comparison and changes nothing). Texts of fewer words than a
     shingle, null texts included, are in no class.
     """
     w = F.transform(words(F.col("text")), lambda x: F.xxhash64(x))
     t = current_texts(snapshot).select("docid", "seen", w.alias("words")).filter(F.size("words") >= p.shingle)
     t = materialize(t.withColumn("id", F.xxhash64("words")), "p1-texts")
     members = t.select("id", "docid", F.inline("seen")).select("id", "sub_collection", "docid")
-    return members, latest(t.select("id", "words"), ["id"], [F.lit(0).asc()])
+    bit = lambda s: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.xxhash64(s["sub_collection"]), F.lit(64)).cast("int"))
+    masks = t.select("id", F.aggregate("seen", F.lit(0).cast("bigint"), lambda acc, s: acc.bitwiseOR(bit(s))).alias("m")).groupBy("id").agg(F.bit_or("m").alias("mask"))
+    one = latest(t.select("id", "words"), ["id"], [F.lit(0).asc()])
+    return members, one.join(masks, "id").select("id", "mask", "words")
 
 
 def similar_classes(snapshot: DataFrame, p: SketchParams) -> tuple[DataFrame, DataFrame]:
@@ -64,15 +67,21 @@ def page_groups(snapshot: DataFrame, p: SketchParams = SketchParams()) -> DataFr
     return members.join(out, ["sub_collection", "id"]).select("sub_collection", "docid", "group_id", "links")
 
 
-def components(edges: DataFrame, part: str, rounds: int = 50) -> DataFrame:
+def _digest(edges: DataFrame, part: str) -> tuple:
+    """Number and order-free hash of a set of edges: what tells two of them apart without a join."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64(part, "u", "v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("v", "u", part))).first())
+
+
+def components(edges: DataFrame, part: str) -> DataFrame:
     """part, node, root: the smallest node of each connected component of (part, u, v), for nodes with an edge.
 
-    Alternating large-star and small-star steps; each halves the distance to the root, and its edges are written to the
-    shared folder. The driver only learns whether anything changed. A star's minimum is a window over keys, not a collected list.
+    Alternating large-star and small-star steps until no edge changes; their number grows with the logarithm of the longest chain, and the edges of each are
+    written to the shared folder. The driver only learns a count and a hash. A star's minimum is a partial aggregate over keys, not a collected list.
     """
     e = edges.select(part, F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct()
     e = materialize(e, "edges")
-    for _ in range(rounds):
+    before, now = None, _digest(e, part)
+    while before != now:
         both = e.unionByName(e.select(part, F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy(part, "u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(low, [part, "u"]).filter("v > u").select(part, F.col("v").alias("u"), F.col("m").alias("v"))
@@ -80,12 +89,7 @@ def components(edges: DataFrame, part: str, rounds: int = 50) -> DataFrame:
         least = large.groupBy(part, "u").agg(F.min("v").alias("m"))
         small = large.join(least, [part, "u"])
         small = small.select(part, F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))))
-        new = materialize(small.filter("u <> v").distinct(), "edges")
-        stable = new.exceptAll(e).isEmpty() and e.exceptAll(new).isEmpty()
-        e = new
-        if stable:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
+        e = materialize(small.filter("u <> v").distinct(), "edges")
+        before, now = now, _digest(e, part)
     star = e.groupBy(part, "u").agg(F.min("v").alias("root")).select(part, F.col("u").alias("node"), "root")
     return star.unionByName(e.select(part, F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -10,9 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import words
 from palimpsest.operators.lineage import materialize
-from palimpsest.operators.snapshots import current_texts
 
 _U = np.uint64
 
@@ -34,6 +32,8 @@ class SketchParams:
     q: int = (1 << 16) - 2
     #: A candidate is verified if its estimate is within so many standard errors of the threshold.
     slack: float = 5.0
+    #: Texts of one band that a task compares with the band's others; a band of more is split.
+    split: int = 1000
 
     @property
     def m(self) -> int:
@@ -136,14 +136,32 @@ def _sketches(p: SketchParams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
                 keys = mix64(keys + reg[:, r :: p.rows].astype(_U))
             raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * p.m), len(reg), [None, pa.py_buffer(reg.tobytes())])
             bands = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, p.bands), pa.int32()), pa.array(keys.view(np.int64).ravel()))
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(size), raw.cast(pa.binary()), bands], ["id", "size", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("mask"), pa.array(size), raw.cast(pa.binary()), bands], ["id", "mask", "size", "sketch", "bands"])
 
     return run
 
 
 def sketch(texts: DataFrame, p: SketchParams) -> DataFrame:
-    """id, size (distinct shingles), sketch (m 16-bit registers), bands (array of band keys) of (id, words array<bigint>)."""
-    return texts.mapInArrow(_sketches(p), "id bigint, size int, sketch binary, bands array<bigint>")
+    """id, mask, size (distinct shingles), sketch (m 16-bit registers), bands (array of band keys) of (id, mask, words array<bigint>)."""
+    return texts.mapInArrow(_sketches(p), "id bigint, mask bigint, size int, sketch binary, bands array<bigint>")
+
+
+def band_pairs(sketches: DataFrame, p: SketchParams) -> DataFrame:
+    """a, b: distinct pairs (a < b) that agree in a whole band, share a bit of their masks and may reach the threshold by their sizes.
+
+    A similarity is at most the smaller size by the larger, so no pair is lost. A band's texts are counted; where there are more than ``split``, one
+    side is cut into parts of about that many texts and the other goes to all of them, so that a band of a third of all texts is spread over as many tasks
+    as it needs. All pairs of a band are looked at, none is dropped for its band's size.
+    """
+    flat = sketches.select("id", "mask", "size", F.explode("bands").alias("band"))
+    hot = flat.groupBy("band").agg(F.count("*").alias("n")).filter(F.col("n") > p.split).select("band", F.ceil(F.col("n") / p.split).cast("int").alias("parts"))
+    flat = flat.join(materialize(hot, "hot-bands"), "band", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    side = lambda s, part: flat.select("band", F.col("id").alias(s), F.col("mask").alias(f"mask_{s}"), F.col("size").alias(f"size_{s}"), part.alias("part"))
+    left = side("a", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    right = side("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    close = F.least("size_a", "size_b") >= F.lit(p.threshold) * F.greatest("size_a", "size_b")
+    pairs = left.join(right, ["band", "part"]).filter("a < b").filter(close & (F.col("mask_a").bitwiseAND(F.col("mask_b")) != 0))
+    return pairs.select("a", "b").distinct()
 
 
 def _estimates(p: SketchParams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -182,19 +200,14 @@ def _verify(p: SketchParams) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return run
 
 
-def similar_texts(texts: DataFrame, p: SketchParams, related: F.Column | None = None, extra: list[str] = []) -> DataFrame:  # noqa: B006
-    """a, b, similarity of all pairs of distinct texts (id, words array<bigint>) that reach the threshold; a < b.
+def similar_texts(texts: DataFrame, p: SketchParams) -> DataFrame:
+    """a, b, similarity of all pairs of distinct texts (id, mask, words array<bigint>) that reach the threshold and share a bit of their masks; a < b.
 
     Ids must be unique and every text must have at least ``shingle`` words. Candidates are pairs that agree in a whole
-    band of registers; ``related`` may reject them on ``extra`` columns (suffixes _a and _b) before anything
-    heavy moves. Only the candidates whose joint likelihood estimate comes near the threshold have their words fetched.
+    band of registers (see ``band_pairs``). Only the candidates whose joint likelihood estimate comes near the threshold have their words fetched.
     """
-    sk = materialize(sketch(texts.select("id", "words"), p).join(texts.select("id", *extra), "id") if extra else sketch(texts, p), "sketch")
-    side = lambda s: sk.select(F.col("id").alias(s), *(F.col(e).alias(f"{e}_{s}") for e in extra), F.explode("bands").alias("band"))
-    pairs = side("a").join(side("b"), "band").filter("a < b")
-    if related is not None:
-        pairs = pairs.filter(related)
-    pairs = materialize(pairs.select("a", "b").distinct(), "candidates")
+    sk = materialize(sketch(texts.select("id", "mask", "words"), p), "sketch")
+    pairs = materialize(band_pairs(sk, p), "candidates")
     full = lambda s: sk.select(F.col("id").alias(s), F.col("sketch").alias(f"sketch_{s}"), F.col("size").alias(f"size_{s}"))
     near = pairs.join(full("a"), "a").join(full("b"), "b").mapInArrow(_estimates(p), "a bigint, b bigint, estimate double")
     near = materialize(near, "near")

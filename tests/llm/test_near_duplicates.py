@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from palimpsest.llm.near_duplicates import components, page_groups, similar_pages
-from palimpsest.llm.setsketch import SketchParams, estimate_jaccard, registers
+from palimpsest.llm.setsketch import SketchParams, band_pairs, estimate_jaccard, registers
 
 WORDS = [f"mot{i}" for i in range(400)]
 
@@ -105,3 +105,12 @@ def test_sketches_merge():
     x = rng.integers(0, 2**63, 300, dtype=np.int64).astype(np.uint64)
     parts = registers(np.concatenate([x[:200], x[100:]]), np.array([0, 200]), p)
     assert (parts.max(0) == registers(x, np.array([0]), p)[0]).all()
+
+
+def test_a_hot_band_is_split_and_whole(spark):
+    """1 500 texts in one band, in parts of 100: every pair that sizes and masks allow, once."""
+    rows = [(k, 1 << (k % 3) | 8 * (k % 2), 10 + k % 40, [7, 100 + k % 5]) for k in range(1500)]
+    df = spark.createDataFrame(rows, "id bigint, mask bigint, size int, bands array<bigint>")
+    got = {tuple(r) for r in band_pairs(df, SketchParams(split=100)).collect()}
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] & b[1] and min(a[2], b[2]) >= 0.6 * max(a[2], b[2])}
+    assert got == want
