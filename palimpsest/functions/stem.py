@@ -271,3 +271,12 @@ def analyze(docs: DataFrame, key: list[str], text: str, analyzer: str = "bow", e
         flat = flat.filter(F.length("term") > 1)
     out = flat.join(stem_table(flat), "term").select(*key, "pos", "stem")
     return out.filter(F.length("stem") > 1) if analyzer == "topic" else out
+
+
+def index_terms(text: Column, stop: list[str]) -> Column:
+    """Terms as a default index of French text makes them: lower case, word tokens, no stop words, no term of one character; not stemmed.
+
+    Stop words are compared in lower case; null text gives [].
+    """
+    terms = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([\\p{L}\\p{N}_]+)"), F.lit(1))
+    return F.filter(terms, lambda w: (F.length(w) > 1) & ~w.isin(stop))

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.config import CATEGORIES as CATEGORY_NAMES
-from palimpsest.functions.stem import analyze, stem_table
+from palimpsest.config import EXTRA_STOP_WORDS
+from palimpsest.functions.stem import analyze, index_terms, stem_table
 from palimpsest.functions.text import word_tokens
 from palimpsest.operators import annotate, learn
 from palimpsest.operators.evaluate import agreement, class_report
@@ -155,6 +156,31 @@ def bow_stems(spark: SparkSession, root: str) -> DataFrame:
     return learn.vocabulary(analyze(d, ["docid", "sub_collection"], "text", "bow"), 10_000, "stem").select("term", "count", "index")
 
 
+@R.query()
+def train_stems(spark: SparkSession, root: str) -> DataFrame:
+    """Stems of the judged pages as a training set encodes them: without the extra stop words."""
+    q = b.qrels(spark, root).select("docid", "sub_collection").distinct()
+    d = b.docs(spark, root).join(q, ["docid", "sub_collection"], "left_semi")
+    return analyze(d, ["docid", "sub_collection"], "text", "bow", extended=False).groupBy("docid", "sub_collection").agg(F.countDistinct("stem").alias("stems"))
+
+
+@R.query()
+def predict_stems(spark: SparkSession, root: str) -> DataFrame:
+    """Stems of the pages to rank, with the extra stop words left out."""
+    d = b.docs(spark, root).filter("sub_collection = '2023-03'")
+    return analyze(d, ["docid"], "text", "bow").groupBy("docid").agg(F.countDistinct("stem").alias("stems"))
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in sorted(EXTRA_STOP_WORDS)) + "]"
+
+
+@R.query(f"with {DOCS}, t as (select docid, list_filter({tokens_sql('text')}, lambda w: length(w) > 1 and not list_contains({_STOP}, w)) as t from current_row where sub_collection = '2023-03') select docid, len(t)::int as terms, len(list_distinct(t))::int as kinds from t")
+def index_analyzer(spark: SparkSession, root: str) -> DataFrame:
+    """Terms of each page as an index makes them."""
+    t = index_terms(F.col("text"), sorted(EXTRA_STOP_WORDS))
+    return b.docs(spark, root).filter("sub_collection = '2023-03'").select("docid", t.alias("t")).select("docid", F.size("t").alias("terms"), F.size(F.array_distinct("t")).alias("kinds"))
+
+
 @R.query()
 def topic_stems(spark: SparkSession, root: str) -> DataFrame:
     x = analyze(b.topics_once(spark, root), ["qid"], "query", "topic").groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("pos", "stem"))).alias("x"))

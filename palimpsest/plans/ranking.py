@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.config import CATEGORY_FACTORS, SIMILARITY_FACTORS, Recency
+from palimpsest.config import CATEGORY_FACTORS, EXTRA_STOP_WORDS, SIMILARITY_FACTORS, Recency
 from palimpsest.functions.text import clean_query
 from palimpsest.operators import evaluate as ev
 from palimpsest.operators.index import Index, build_index
@@ -90,6 +90,16 @@ def tfidf_top_term(spark: SparkSession, root: str) -> DataFrame:
     return top_terms(tfidf(_index(spark, root)), ["sub_collection", "docid"], 1).select("sub_collection", "docid", "term", "tfidf")
 
 
+_STOP = ", ".join(f"'{w}'" for w in sorted(EXTRA_STOP_WORDS))
+
+
+@R.query(f"with {INDEX}, {_TFIDF} select sub_collection, docid, count(*) as candidates, max(tfidf) as best from w where term not in ({_STOP}) group by all")
+def candidate_terms(spark: SparkSession, root: str) -> DataFrame:
+    """Candidate terms of each page: letters only, five or more, no stop word."""
+    w = tfidf(_index(spark, root), stop=sorted(EXTRA_STOP_WORDS))
+    return w.groupBy("sub_collection", "docid").agg(F.count("*").alias("candidates"), F.max("tfidf").alias("best"))
+
+
 _EXPANSION = (
     f"{QRELS}, {TOPICS_ONCE}, e as (select sub_collection, qid, term, max(tfidf) as score from (select distinct sub_collection, qid, docid from qrels where label > 0 and sub_collection <= '2023-02') join top using (sub_collection, docid) group by all), "
     "m as (select qid, term, round(avg(score), 6) as score from e group by all), "
