@@ -112,9 +112,8 @@ def _likelihoods(rest: DataFrame) -> tuple[DataFrame, DataFrame]:
     o = one.groupBy("x.tag", "x.op").agg(F.count(F.when(F.col("head"), 1)).alias("h"), F.count(F.when(~F.col("head"), 1)).alias("b"))
     o = materialize(o, "p3-openings")
     t = o.groupBy("tag").agg(F.sum("h").alias("heads"), F.sum("b").alias("bodies"), F.count(F.when(F.col("h") > 0, 1)).alias("head_ops"), F.count(F.when(F.col("b") > 0, 1)).alias("body_ops"))
-    total = t.agg(F.sum("heads").alias("all_heads"), F.sum("bodies").alias("all_bodies")).withColumn("_k", F.lit(1))
-    t = t.withColumn("_k", F.lit(1)).join(total, "_k").drop("_k")
-    t = t.withColumn("of_tag", F.log2((F.col("heads") + 0.5) / (F.col("all_heads") + 1)) - F.log2((F.col("bodies") + 0.5) / (F.col("all_bodies") + 1))).filter("heads > 0 and of_tag > 0")
+    all_heads, all_bodies = o.agg(F.sum("h")).scalar(), o.agg(F.sum("b")).scalar()
+    t = t.withColumn("of_tag", F.log2((F.col("heads") + 0.5) / (all_heads + 1)) - F.log2((F.col("bodies") + 0.5) / (all_bodies + 1))).filter("heads > 0 and of_tag > 0")
 
     def bits(h: Column, b: Column) -> Column:
         kinds = F.col("head_ops") + F.col("body_ops") + 1
