@@ -74,11 +74,6 @@ def best(table: DataFrame, metric: str, tie: list[str]) -> DataFrame:
     return table.orderBy(F.col(metric).desc(), *(F.col(t).asc() for t in tie)).limit(1)
 
 
-def normal_label(c: Column) -> Column:
-    """Labels compared trimmed and in lower case."""
-    return F.lower(F.trim(c))
-
-
 def agreement(pairs: DataFrame, a: str = "a1", b: str = "a2") -> DataFrame:
     """n, agreement, kappa (Cohen), alpha (Krippendorff, nominal) of two annotators from their confusion matrix.
 
