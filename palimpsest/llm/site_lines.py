@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -35,69 +35,113 @@ def frequent_lines(lines: DataFrame, min_docs: int = 8) -> tuple[DataFrame, Data
     return single, lines.join(single.select("host", "item"), ["host", "item"])
 
 
-def frequent_sequences(lines: DataFrame, min_docs: int = 8, max_length: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """PrefixSpan: line sequences (in order, gaps allowed) in at least ``min_docs`` distinct pages of a host.
-
-    Gives the sequences (host, sequence array<int>, docs) and the frequent lines (host, code, line) that the numbers stand for.
-    Level 1 counts single lines; as the support of a sequence never exceeds that of its parts, only frequent lines go
-    on. A level's projected database is a frame (host, sequence, rest, n): what follows the place where the sequence first
-    ends in each text of a page, and the number of pages with just these rests. Rests lose the lines that no longer make the
-    sequence frequent, equal ones become one row, and empty ones fall out. Support is summed by (host, sequence, line), in
-    partial sums first, so a host of a third of all rows needs no task of its own. Levels are added until none of their
-    sequences is frequent, or up to ``max_length`` if one is given.
+def sequence_graph(lines: DataFrame, min_docs: int = 8, max_length: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """PrefixSpan: line sequences (in order, gaps allowed) in at least ``min_docs`` distinct pages of a host, as a graph.
+
+    A node is a projected database, and every path from the node '' is a frequent sequence. Gives the edges (host, node,
+    code, docs), where they lead (host, node, code, next) and the frequent lines (host, item, line, docs, code) that the
+    numbers stand for.
+
+    The first level counts single lines; as the support of a sequence never exceeds that of its parts, only frequent lines go
+    on. The projected database of a sequence is a set of rows (host, node, rest, n): what follows the place where the sequence
+    first ends in each text of a page, and the number of pages with just these rests. Rests lose the lines that no longer make
+    the sequence frequent, equal ones become one row, and empty ones fall out. Sequences with equal databases grow alike and
+    share a node, so that each database is grown once, however many sequences lead to it. Nodes are named by a sum of the md5
+    of their rows, which needs no database in one place. Support is summed by (host, node, line), in partial sums first, so
+    a host of a third of all rows needs no task of its own. Levels are added until there is no new database, or up
+    to ``max_length`` lines if a number is given.
     """
     single, alphabet = frequent_lines(lines, min_docs)
     code = F.row_number().over(Window.partitionBy("host").orderBy("item"))
-    names = materialize(alphabet.groupBy("host", "item").agg(F.min("line").alias("line")).withColumn("code", code), "p5-names")
-    level = names.join(single, ["host", "item"]).select("host", F.array("code").alias("sequence"), "docs")
-    found = level
+    names = alphabet.groupBy("host", "item").agg(F.min("line").alias("line")).join(single, ["host", "item"])
+    names = materialize(names.withColumn("code", code), "p5-names")
     texts = alphabet.join(names.select("host", "item", "code"), ["host", "item"]).groupBy("host", "docid", "fp")
     texts = texts.agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "code"))), lambda s: s["code"]).alias("text"))
     pages = texts.groupBy("host", "docid").agg(F.sort_array(F.collect_set("text")).alias("rest"))
-    pages = pages.groupBy("host", "rest").agg(F.count("*").alias("n")).withColumn("sequence", F.array().cast("array<int>"))
-    more = names.groupBy("host").agg(F.collect_list("code").alias("more")).withColumn("sequence", F.array().cast("array<int>"))
-    length = 1
+    pages = pages.groupBy("host", "rest").agg(F.count("*").alias("n"))
+    pages = materialize(pages.select("host", F.lit("").alias("node"), "rest", "n"), "p5-projected1")
+    edges = names.select("host", F.lit("").alias("node"), "code", "docs")
+    leads, known, length = None, None, 1
     while length != max_length:
-        pages = materialize(_projected(pages, more), f"p5-projected{length}")
-        grown = pages.select("host", "sequence", "n", F.explode(F.array_distinct(F.flatten("rest"))).alias("code"))
-        grown = grown.groupBy("host", "sequence", "code").agg(F.sum("n").alias("docs"))
-        grown = materialize(grown.filter(F.col("docs") >= min_docs), f"p5-level{length + 1}")
-        if grown.isEmpty():
+        step = materialize(_databases(pages).filter(F.col("pages") >= min_docs).drop("pages"), f"p5-leads{length}")
+        leads = step if leads is None else leads.unionByName(step)
+        fresh = step.groupBy("host", "next").agg(F.min(F.struct("node", "code")).alias("by"))
+        fresh = materialize(fresh if known is None else fresh.join(known, ["host", "next"], "left_anti"), f"p5-fresh{length}")
+        if fresh.isEmpty():
             break
-        found = found.unionByName(grown.select("host", F.array_append("sequence", F.col("code")).alias("sequence"), "docs"))
-        more = grown.groupBy("host", "sequence").agg(F.collect_list("code").alias("more"))
+        known = fresh.select("host", "next") if known is None else known.unionByName(fresh.select("host", "next"))
+        fresh = fresh.select("host", "next", "by.*")
+        behind = pages.join(fresh, ["host", "node"]).select("host", F.col("next").alias("node"), _behind(F.col("code")).alias("rest"), "n")
+        behind = materialize(behind.filter(F.size("rest") > 0).groupBy("host", "node", "rest").agg(F.sum("n").alias("n")), f"p5-behind{length}")
+        grown = behind.select("host", "node", "n", F.explode(F.array_distinct(F.flatten("rest"))).alias("code"))
+        grown = grown.groupBy("host", "node", "code").agg(F.sum("n").alias("docs"))
+        grown = materialize(grown.filter(F.col("docs") >= min_docs), f"p5-level{length + 1}")
+        edges = edges.unionByName(grown)
+        more = grown.groupBy("host", "node").agg(F.collect_list("code").alias("more"))
+        pages = behind.join(more, ["host", "node"]).withColumn("rest", _rests(F.transform("rest", lambda r: F.filter(r, lambda c: F.array_contains(F.col("more"), c)))))
+        pages = pages.filter(F.size("rest") > 0).groupBy("host", "node", "rest").agg(F.sum("n").alias("n"))
         length += 1
-    return found, names.select("host", "code", "line")
+        pages = materialize(pages, f"p5-projected{length}")
+    if leads is None:
+        leads = edges.select("host", "node", "code", F.lit(None).cast("string").alias("next")).limit(0)
+    return edges, leads, names
+
+
+def _rests(rests: Column) -> Column:
+    """Rests in the one form by which databases are compared: sorted, distinct, none empty."""
+    return F.sort_array(F.array_distinct(F.filter(rests, lambda r: F.size(r) > 0)))
+
+
+def _behind(code: Column) -> Column:
+    """What follows the first ``code`` in each of the rests that has it."""
+    return _rests(F.transform(F.filter("rest", lambda r: F.array_contains(r, code)), lambda r: F.slice(r, F.array_position(r, code).cast("int") + 1, F.size(r))))
 
 
-def _projected(pages: DataFrame, more: DataFrame) -> DataFrame:
-    """The projected database of each sequence with one of the lines ``more`` (host, sequence, more) behind it."""
-    x = pages.join(more, ["host", "sequence"])
-    x = x.withColumn("rest", F.transform("rest", lambda r: F.filter(r, lambda c: F.array_contains(F.col("more"), c))))
-    x = x.select("host", "sequence", "rest", "n", F.explode(F.array_distinct(F.flatten("rest"))).alias("code"))
-    code = F.col("code")
-    behind = F.transform(F.filter("rest", lambda r: F.array_contains(r, code)), lambda r: F.slice(r, F.array_position(r, code).cast("int") + 1, F.size(r)))
-    rest = F.sort_array(F.array_distinct(F.filter(behind, lambda r: F.size(r) > 0)))
-    x = x.select("host", F.array_append("sequence", code).alias("sequence"), rest.alias("rest"), "n").filter(F.size("rest") > 0)
-    return x.groupBy("host", "sequence", "rest").agg(F.sum("n").alias("n"))
+def _databases(pages: DataFrame) -> DataFrame:
+    """host, node, code, next, pages: the name of the database of every node with one more line, and the pages in it.
+
+    The name comes from the sums of n times each quarter of the md5 of a row's rests, so rows with equal rests count as one row.
+    """
+    x = pages.select("host", "node", "rest", "n", F.explode(F.array_distinct(F.flatten("rest"))).alias("code"))
+    x = x.select("host", "node", "code", "n", _behind(F.col("code")).alias("rest")).filter(F.size("rest") > 0)
+    x = x.select("host", "node", "code", "n", F.md5(F.to_json("rest")).alias("h"))
+    quarters = [F.sum(F.col("n") * F.conv(F.substring("h", 8 * k + 1, 8), 16, 10).cast("bigint")) for k in range(4)]
+    return x.groupBy("host", "node", "code").agg(F.md5(F.concat_ws(" ", *quarters)).alias("next"), F.sum("n").alias("pages"))
+
+
+def frequent_sequences(lines: DataFrame, min_docs: int = 8, max_length: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The paths of ``sequence_graph``: the sequences (host, sequence array<int>, docs), and the frequent lines (host, code, line)."""
+    edges, leads, names = sequence_graph(lines, min_docs, max_length)
+    edges = materialize(edges.join(leads, ["host", "node", "code"], "left"), "p5-edges")
+    level = edges.filter("node = ''").select("host", F.array("code").alias("sequence"), "docs", "next")
+    found, length = level, 1
+    while length != max_length:
+        level = level.filter("next is not null").select("host", "sequence", F.col("next").alias("node")).join(edges, ["host", "node"])
+        level = materialize(level.select("host", F.array_append("sequence", F.col("code")).alias("sequence"), "docs", "next"), f"p5-paths{length + 1}")
+        if level.isEmpty():
+            break
+        found = found.unionByName(level)
+        length += 1
+    return found.drop("next"), names.select("host", "code", "line")
 
 
 def repeated_lines(snapshot: DataFrame, min_docs: int = 8) -> DataFrame:
     """sub_collection, docid, line_no, line of every occurrence of a frequent sequence, single lines included.
 
-    Every line of a frequent sequence is a frequent line (see ``frequent_sequences``), so the occurrences of length 1
-    are all there are to remove. Rows without a host, null texts and empty lines give nothing.
+    The sequences of every length are grown first (see ``sequence_graph``), and every line of one of them is taken where it
+    stands: a line of a sequence is a frequent sequence itself. Rows without a host, null texts and empty lines give nothing.
     """
     lines = materialize(site_lines(snapshot), "p5-all")
-    _, alphabet = frequent_lines(lines, min_docs)
-    return alphabet.select(F.explode("subs").alias("sub_collection"), "docid", "line_no", "line")
+    edges, _, names = sequence_graph(lines, min_docs)
+    found = edges.select("host", "code").distinct().join(names, ["host", "code"]).select("host", "item")
+    return lines.join(found, ["host", "item"]).select(F.explode("subs").alias("sub_collection"), "docid", "line_no", "line")
 
 
 def line_sequences(snapshot: DataFrame, min_docs: int = 8, max_length: int | None = None) -> DataFrame:
     """host, length, lines, docs: the frequent line sequences of every host, with their lines in normalised form."""
     lines = materialize(site_lines(snapshot), "p5-all")
     found, names = frequent_sequences(lines, min_docs, max_length)
-    names = names.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("code", "line"))).alias("line"))
+    names = names.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct("code", "line"))), lambda s: s["line"]).alias("line"))
     spelled = F.transform("sequence", lambda c: F.element_at("line", c))
     return found.join(names, "host").select("host", F.size("sequence").alias("length"), spelled.alias("lines"), "docs")
 

@@ -6,6 +6,7 @@ import re
 import unicodedata
 from collections import Counter, defaultdict
 
+from palimpsest.llm import site_lines
 from palimpsest.llm.main_content import furniture_lines, main_content
 from palimpsest.llm.site_lines import line_sequences, repeated_lines, without_repeated_lines
 from palimpsest.llm.term_counts import count_pairs, snapshot_term_counts
@@ -90,6 +91,28 @@ def test_sequences_of_every_length(snapshot):
     assert line_sequences(snapshot([])).count() == 0
 
 
+def test_removal_grows_sequences_to_the_end(snapshot, monkeypatch):
+    graphs, graph = [], site_lines.sequence_graph
+    monkeypatch.setattr(site_lines, "sequence_graph", lambda *a: graphs.append(graph(*a)) or graphs[-1])
+    menu = [f"entrée {i}" for i in range(40)]
+    rows = [(f"doc{i}", "2023-01", "\n".join([f"titre {i}", *menu, "pied"][: 42 - (i == 8)]), "http://h.example", 1) for i in range(9)]
+    got = {tuple(r)[1:3] for r in repeated_lines(snapshot(rows)).collect()}
+    assert got == {(i, n) for i in range(9) for n in range(2, 43 - (i == 8))}
+    (edges, leads, _), = graphs
+    follows = {(r.node, r.code): r.next for r in leads.collect()}
+    out = defaultdict(list)
+    for r in edges.collect():
+        out[r.node].append((follows.get((r.node, r.code)), r.docs))
+
+    def paths(node, seen={}):
+        if node not in seen:
+            seen[node] = sum(1 + paths(next) for next, _ in out.get(node, []))
+        return seen[node]
+
+    assert paths("") == 2**41 - 1 and {d for e in out.values() for _, d in e} == {8, 9}
+    assert sum(map(len, out.values())) == 41 + 40 * 41 // 2
+
+
 def news(hosts=3, pages=40):
     rng = random.Random(9)
     word = lambda: "".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") for _ in range(3))
